@@ -14,8 +14,8 @@ similarity is at least the threshold agrees in ``matches`` coordinates or more
 
 Components need no pair twice: each posting list is first linked to its smallest
 document only (linear in its length), and only pairs between what are then still
-different components are compared, the list's largest component never with
-itself. Documents with equal sets are one document throughout.
+different components are compared, in tiles of bounded size, the list's largest
+component never with itself. Documents with equal sets are one document throughout.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm._bytes import LOWER, U64, mix, prefix_hash, slices, span_hash, words
+from hopweave.llm._units import over_units
 from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
 
 COORDINATES, MATCHES = 64, 36
+TILE = 256
 _SEED = np.random.default_rng(20250101)
 _A = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _SEED.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
@@ -110,6 +112,59 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs (a, b) of roles(main, id, comp) that share a main and differ in comp, at least one outside main.
+
+    The rows of a main are cut into tiles of about TILE, and each pair of tiles is one unit, so no pair is a row
+    before it is confirmed and no task holds more than two tiles.
+    """
+    size = roles.groupBy("main").agg(F.sum((F.col("comp") != F.col("main")).cast("int")).alias("m"), F.count("*").alias("k"))
+    size = materialize(size.select("main", F.ceil(F.col("m") / TILE).alias("ni"), F.ceil(F.col("k") / TILE).alias("nj")), "mh-size")
+    placed = roles.join(size, "main").withColumn("h", F.xxhash64("id"))
+    left = placed.where("comp <> main").select("main", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(0).alias("side"), "id", "comp")
+    right = placed.select("main", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    rows = left.union(right).join(sigs, "id").join(sets, "id")
+
+    def unit(t: pa.Table) -> pa.RecordBatch | None:
+        side, ids, comp = (t[c].to_numpy() for c in ("side", "id", "comp"))
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(side), COORDINATES)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        agree = np.zeros((len(x), len(y)), np.int16)
+        for k in range(COORDINATES):
+            agree += sig[x, k][:, None] == sig[y, k][None, :]
+        agree[comp[x][:, None] == comp[y][None, :]] = 0
+        hit = agree >= MATCHES
+        x, y = x[hit.any(1)], y[hit.any(0)]
+        if not len(x):
+            return None
+        hit = hit[hit.any(1)][:, hit.any(0)]
+        held = t["members"].combine_chunks()
+        both = [[np.frombuffer(held[int(i)].as_buffer(), U64) for i in of] for of in (x, y)]
+        n = [np.array([len(s) for s in of]) for of in both]
+        cols = [np.unique(np.concatenate(of)) for of in both]
+        cols = np.intersect1d(*cols, assume_unique=True)
+        total = np.zeros((len(x), len(y)), np.float32)
+        spot = [np.concatenate([np.searchsorted(cols, s) for s in of]) for of in both]
+        real = [np.concatenate(of) for of in both]
+        owner = [np.repeat(np.arange(len(k)), k) for k in n]
+        for c in range(0, len(cols), 8192):  # exact sizes of the intersections, by bounded blocks of shingles
+            m = []
+            for q in (0, 1):
+                at = np.flatnonzero((spot[q] >= c) & (spot[q] < min(c + 8192, len(cols))))
+                at = at[cols[spot[q][at]] == real[q][at]]
+                z = np.zeros((len(n[q]), min(8192, len(cols) - c)), np.float32)
+                z[owner[q][at], spot[q][at] - c] = 1
+                m.append(z)
+            total += m[0] @ m[1].T
+        total = total.astype(np.int64)
+        hit &= 100 * total >= percent * (n[0][:, None] + n[1][None, :] - total)
+        i, j = np.nonzero(hit)
+        a, b = ids[x[i]], ids[y[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return over_units(rows, ["main", "i", "j"], unit, "a long, b long").distinct()
+
+
 def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -144,13 +199,11 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     placed = materialize(postings.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("item", "id", F.coalesce("component", "id").alias("comp")), "mh-placed")
     by = placed.groupBy("item", "comp").agg(F.count("*").alias("k"))
     mixed = materialize(by.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("n")).where("n > 1").select("item", F.col("m.comp").alias("main")), "mh-mixed")
-    rest = materialize(placed.join(mixed, "item"), "mh-rest")
-    minor = rest.where("comp <> main").select("item", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    pairs = minor.join(rest.select("item", "id", "comp"), "item").where("comp <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = materialize(_confirm(pairs, sigs, sets, percent), "mh-links")
+    roles = materialize(placed.join(mixed, "item").select("main", "id", "comp").distinct(), "mh-roles")
+    more = materialize(_across(roles, sigs, sets, percent), "mh-links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
-    discard(postings, placed, mixed, rest, sigs, sets)
+    discard(postings, placed, mixed, roles, sigs, sets)
 
     member = feats.select("doc_id", "n", "set_key").join(classes, "set_key", "left").drop("set_key")
     out = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
