@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from hopweave.llm import minhash
+from hopweave.llm import langid, minhash, quality
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op3_language_id": langid.op3_language_id,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
