@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from hopweave.llm import langid, minhash, quality
+from hopweave.llm import chat, langid, minhash, packing, pieces, quality, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_language_id": langid.op3_language_id,
+    "op4_warc_round_trip": warc.op4_warc_round_trip,
+    "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op9_quality_classifier": quality.op9_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": warc.OP4_SQL,
+    "op5_chat_formatting": chat.OP5_SQL,
+}
