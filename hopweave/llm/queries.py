@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.llm import chat, langid, minhash, packing, pieces, quality, warc
+from hopweave.llm import chat, langid, minhash, packing, pieces, quality, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -12,8 +12,10 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": warc.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
+    "op10_embedding_near_dedup": vectors.OP10_SQL,
 }
