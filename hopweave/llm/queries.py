@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.llm import chat, langid, minhash, packing, pieces, quality, vectors, warc
+from hopweave.llm import ann, chat, langid, minhash, packing, pieces, quality, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
