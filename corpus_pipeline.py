@@ -1,17 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage but the last returns the columns of documents and works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hopweave.llm import langid, minhash, packing, quality, substrings
 from hopweave.storage import materialize
 
-STAGES = []
+#: Below this posterior no language is said to be known.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those of no language that stands out, go."""
+    scored = langid.predict(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), langid.fit(docs, _tokenizer()))
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in docs.columns])
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier of quality 0 go."""
+    weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), weights)
+    return scored.where("predicted = 1").select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, 0.8) the smallest doc_id stays; documents without an id or words stay."""
+    gone = materialize(minhash.minhash_components(docs.select("doc_id", "text"), size=5, percent=80).where("not kept").select("doc_id").distinct(), "pipeline-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings are cut from the texts; bytes of characters that were cut in two go too. n_chars follows, every document stays."""
+    out = substrings.dedup_substrings(docs)
+    kept = "cast(kept as string)"
+    text = F.coalesce(F.expr(f"try_validate_utf8({kept})"), F.regexp_replace(F.expr(f"make_valid_utf8({kept})"), "\ufffd", ""))
+    fields = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[fields.get(c, F.col(f"extra.`{c}`")).alias(c) for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed token pieces of what is left."""
+    return packing.pack_documents(docs, _tokenizer())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Two stages are learned classifiers, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

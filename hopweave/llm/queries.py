@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hopweave.llm import ann, chat, langid, minhash, packing, pieces, quality, vectors, warc
+from hopweave.llm import ann, chat, langid, minhash, packing, pieces, quality, substrings, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_suffix_array_dedup": substrings.op2_suffix_array_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_warc_round_trip": warc.op4_warc_round_trip,
     "op5_chat_formatting": chat.op5_chat_formatting,
