@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
@@ -41,6 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows per Arrow batch from here on: few where whole texts travel, so that a worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A string column as one binary array; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -50,7 +56,7 @@ def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(column, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about limit bytes: first row, end row, bytes, offsets from 0. A longer text is a run of its own."""
     column = binary(column)
     n = len(column)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopweave.llm._bytes import batch_rows
 from hopweave.llm._units import bounds, over_runs, over_units
 from hopweave.llm.vectors import usable
 from hopweave.storage import discard, materialize
@@ -186,6 +187,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     repeat a vec_id the smallest vector counts. Equal vectors are one vector of the graph and come out as their smallest k + 1 ids.
     Other columns are ignored; an empty table gives no rows.
     """
+    batch_rows(table.sparkSession, 10_000)
     table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     size = table.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     table = materialize(table.where(F.size("embedding") == (size[0]["d"] if size else 0)).groupBy("vec_id").agg(F.min("embedding").alias("x")), "ann-table")

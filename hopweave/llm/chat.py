@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.llm._bytes import batch_rows
 from hopweave.llm._units import over_units
 
 Turn = tuple[str, str]
@@ -114,6 +115,7 @@ def format_conversations(rows: DataFrame, render: Callable[[list[Turn]], str] =
         loss = [{"start": s, "end": e} for (role, _), (_, s, e, _) in zip(turns, found) if role == "assistant"]
         return pa.RecordBatch.from_arrays([pa.array(t["conv_id"][:1].to_pylist(), pa.int64()), pa.array([text]), pa.array([full], pair), pa.array([loss], pair), pa.array([bad])], ["conv_id", "formatted", "spans", "loss_spans", "rewrites"])
 
+    batch_rows(rows.sparkSession, 10_000)
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("_k", F.coalesce("conv_id", F.lit(-(1 << 63)))).withColumn("_null", F.col("conv_id").isNull().cast("long"))
     return over_units(own, ["_k", "_null"], unit, "conv_id long, formatted string, spans array<struct<start:int,end:int>>, loss_spans array<struct<start:int,end:int>>, rewrites boolean", ["turn", "role", "text"])

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.llm._bytes import batch_rows
+
 #: At most about this many training documents per language, and languages.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
 #: Distinct words kept for training, the most frequent ones of the sample.
@@ -111,6 +113,7 @@ def fit(docs: DataFrame, vocab_path: str, per_language: int = SAMPLE_PER_LANGUAG
     ``per_language`` of them, and the most frequent TRAINING_WORDS words of it are kept. A language is any non-null value; beyond
     MAX_LANGUAGES the most frequent ones are learned.
     """
+    batch_rows(docs.sparkSession, 1000)
     own = docs.where("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "lang", "text")
     sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
@@ -143,6 +146,7 @@ def predict(docs: DataFrame, model: Unigrams) -> DataFrame:
     so that long texts don't all saturate.
     Whole texts count. Columns of docs with these names are replaced; all others stay.
     """
+    batch_rows(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

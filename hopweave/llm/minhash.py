@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import LOWER, U64, mix, prefix_hash, slices, span_hash, words
+from hopweave.llm._bytes import LOWER, U64, batch_rows, mix, prefix_hash, slices, span_hash, words
 from hopweave.llm._units import over_units
 from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
@@ -174,6 +174,7 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     doc_id are kept and link with nothing (component_id null, kept true); of rows that repeat a doc_id each gets
     the component of that id. Other columns are ignored; an empty table gives no rows.
     """
+    batch_rows(docs.sparkSession, 2000)
     feats = materialize(features(docs, size), "mh-features")
     usable = feats.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "mh-classes")

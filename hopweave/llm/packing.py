@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopweave.llm._bytes import batch_rows
+from hopweave.storage import materialize
+
 #: Rows of one length that are ranked together, about.
 BLOCK = 50_000
-CACHE = 500_000
+CACHE = 200_000
 _caches: dict[str, tuple] = {}
 
 
@@ -150,8 +153,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    from hopweave.storage import materialize
-
+    batch_rows(docs.sparkSession, 1000)
     return pack(materialize(token_pieces(docs, tokenizer_path, end_id, capacity), "pack-pieces"), capacity, ["doc_id", "piece"])
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import SPACE, U64, mix, prefix_hash, slices, span_hash
+from hopweave.llm._bytes import SPACE, U64, batch_rows, mix, prefix_hash, slices, span_hash
 
 BITS = 18
 #: Labelled documents drawn for training, about.
@@ -95,6 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     them. Null labels and ids are left out; repeated labels of an id count once, the higher one. Without both classes
     only the bias is learned.
     """
+    batch_rows(docs.sparkSession, 1000)
     own = labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = own.count()
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
@@ -126,6 +127,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     Every whole text is scored; null counts as empty, which scores the bias alone. Columns of docs with these names are replaced; all others stay.
     """
+    batch_rows(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the data
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
 

@@ -4,7 +4,7 @@ A byte goes when some ``LENGTH``-byte string over it also starts earlier in the
 such string contains the smallest hashed ``GRAM``-byte gram of its own, so only suffixes at these
 anchors are looked at (about one in 35 bytes), and only where two anchors share their gram.
 
-1. Anchors with a gram in common meet. Where their whole surroundings (all ``LENGTH``-byte strings over the gram)
+1. Within a document, surroundings of an anchor seen before are covered at once. Other anchors with a gram in common meet. Where their whole surroundings (all ``LENGTH``-byte strings over the gram)
    hash alike, every one but the first is covered and done.
 2. The first of each of several different surroundings are compared by bytes: the suffixes right of the anchor and the reversed
    prefixes left of it are sorted, each by a merge sort whose comparisons find the common extension by binary
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import U64, binary, mix, powers, prefix_hash, slices, span_hash
+from hopweave.llm._bytes import U64, batch_rows, binary, mix, powers, prefix_hash, slices, span_hash
 from hopweave.llm._units import bounds, over_runs
 from hopweave.storage import discard, materialize
 
-LENGTH, GRAM, MANY = 100, 32, 4096
+LENGTH, GRAM, MANY = 100, 32, 16384
 REACH = LENGTH - GRAM  # the strings over a gram start up to this far left of it
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,31 +66,48 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def _emit_anchors(batches):
+    """Anchors (h, c, id, at); and what repeats surroundings of its own document, as rows of spans: at is -1 - start, c the end."""
     for batch in batches:
         ids = batch["id"].to_numpy()
-        for a, _, data, offsets in slices(batch["text"], 1 << 21):
-            i, row, g, c, _, right = anchors(data, offsets)
-            if len(i):
-                pos = i - offsets[row]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[a + row]), pa.array(pos << 7 | right)], ["h", "c", "id", "at"])
+        for a, _, data, offsets in slices(batch["text"]):
+            i, row, g, c, left, right = anchors(data, offsets)
+            if not len(i):
+                continue
+            pos = i - offsets[row]
+            _, first = np.unique(mix(g * U64(0xD1342543DE82EF95) + c) + row.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)
+            late = np.ones(len(i), bool)
+            late[first] = False
+            late = np.flatnonzero(late & (left + right >= LENGTH))
+            rows = [g[first].view(np.int64), c[first].view(np.int64), ids[a + row[first]], pos[first] << 7 | right[first]]
+            if len(late):  # a period repeated over and over: a few long spans
+                x, y, r = (i - left)[late], np.maximum.accumulate((i + right)[late]), row[late]
+                new = np.r_[True, (x[1:] > y[:-1]) | (r[1:] != r[:-1])]
+                last = np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]
+                x, y, r = x[new], y[last], r[new]
+                own = ids[a + r]
+                rows = [np.r_[u, v] for u, v in zip(rows, (mix(own.view(U64)).view(np.int64), y - offsets[r], own, -1 - (x - offsets[r])))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "c", "id", "at"])
 
 
 def _meet(t: pa.Table) -> pa.RecordBatch | None:
     """Anchors sorted by gram, surroundings, place: covered spans (kind 0) and places still to compare (kind 1, or 2 where there are many)."""
     h, c, doc, at = (t[x].to_numpy() for x in ("h", "c", "id", "at"))
-    pos, right = at >> 7, at & 127
-    first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-    b = bounds(h)
-    kinds = np.repeat(np.add.reduceat(first.astype(np.int64), b[:-1]), np.diff(b))
-    left = np.minimum(pos, REACH)
-    done = np.flatnonzero(~first & (left + right >= LENGTH))
-    need = np.flatnonzero(first & (kinds > 1))
-    if not len(done) and not len(need):
-        return None
-    kind = np.r_[np.zeros(len(done), np.int64), np.where(kinds[need] > MANY, 2, 1)]
-    x = np.r_[(pos - left)[done], pos[need]]
-    y = np.r_[(pos + right)[done], h[need]]
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[np.r_[done, need]]), pa.array(x), pa.array(y)], ["kind", "id", "x", "y"])
+    span = at < 0
+    sx, sy, sid = -1 - at[span], c[span], doc[span]
+    h, c, doc, at = h[~span], c[~span], doc[~span], at[~span]
+    if len(h):
+        pos, right = at >> 7, at & 127
+        first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+        b = bounds(h)
+        kinds = np.repeat(np.add.reduceat(first.astype(np.int64), b[:-1]), np.diff(b))
+        left = np.minimum(pos, REACH)
+        done = np.flatnonzero(~first & (left + right >= LENGTH))
+        need = np.flatnonzero(first & (kinds > 1))
+        kind = np.r_[np.zeros(len(sx) + len(done), np.int64), np.where(kinds[need] > MANY, 2, 1)]
+        sid, sx, sy = np.r_[sid, doc[done], doc[need]], np.r_[sx, (pos - left)[done], pos[need]], np.r_[sy, (pos + right)[done], h[need]]
+    else:
+        kind = np.zeros(len(sx), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(sid), pa.array(sx), pa.array(sy)], ["kind", "id", "x", "y"]) if len(kind) else None
 
 
 def suffix_order(unit: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -301,6 +318,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     counts the maximal removed runs. Rows with a null doc_id come first, rows that repeat a doc_id are documents of their own in the order of their
     texts. Other columns come back in the struct extra; an empty table gives no rows.
     """
+    batch_rows(docs.sparkSession, 2000)
     docs = _numbered(docs)
     return remove_repeats(docs, covered_spans(docs))
 

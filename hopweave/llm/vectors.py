@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import U64, mix
+from hopweave.llm._bytes import U64, batch_rows, mix
 from hopweave.llm._units import over_units
 from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
@@ -76,6 +76,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     (component_id null, kept true). Rows that repeat a vec_id are vectors of their own with one component. n_links counts the other
     vectors linked directly; component_id is the smallest vec_id reachable. Other columns are ignored.
     """
+    batch_rows(table.sparkSession, 10_000)
     table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     ok = table.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding"))
     classes = materialize(ok.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vec-classes")

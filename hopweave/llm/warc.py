@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.llm._bytes import batch_rows
 from hopweave.storage import discard, materialize
 
 # Fixed values of the formats.
@@ -138,6 +139,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     page_id are responses, the others revisits that refer to it; smaller ones are all responses. Rows that repeat
     the smallest page_id are all responses. A null page_id is never referred to. Other columns are ignored.
     """
+    batch_rows(pages.sparkSession, 1000)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.sha2(F.encode("html", "UTF-8"), 256)
     keyed = pages.select("page_id", digest.alias("digest")).where(F.octet_length("html") >= MIN_REVISIT)
