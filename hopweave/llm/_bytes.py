@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,21 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def trimmed(run):
+    """run, a task's function over Arrow batches, with memory given back to the system when the task ends: workers are reused."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A string column as one binary array; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hopweave.llm._bytes import trimmed
+
 
 def over_units(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] = ()) -> DataFrame:
     """Call fn once for each combination of the (long) keys, with its rows sorted by order."""
@@ -41,7 +43,7 @@ def over_units(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Recor
                 held.append(batch.slice(a, b - a))
         yield from done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(trimmed(run), schema)
 
 
 def over_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] = ()) -> DataFrame:
@@ -73,7 +75,7 @@ def over_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Record
             last = tuple(k[-1])
         yield from done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(trimmed(run), schema)
 
 
 def bounds(k: np.ndarray) -> np.ndarray:

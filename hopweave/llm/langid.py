@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import batch_rows
+from hopweave.llm._bytes import batch_rows, trimmed
 
 #: At most about this many training documents per language, and languages.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
 #: Distinct words kept for training, the most frequent ones of the sample.
 TRAINING_WORDS = 60_000
 MAX_PIECE, MAX_WORD, ROUNDS = 8, 24, 3
-CACHE = 400_000
+CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, vocab_path: str, per_language: int = SAMPLE_PER_LANGUAG
                     got[lang, w] += c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "word", "c"])
 
-    top = picked.mapInArrow(words, "lang string, word string, c long").where("length(word) <= 24").groupBy("lang", "word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang", "word").limit(TRAINING_WORDS).collect()
+    top = picked.mapInArrow(trimmed(words), "lang string, word string, c long").where("length(word) <= 24").groupBy("lang", "word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang", "word").limit(TRAINING_WORDS).collect()
     counts = {r["lang"]: Counter() for r in sizes}
     for r in top:
         counts[r["lang"]][r["word"]] = r["c"]
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Unigrams) -> DataFrame:
 
     own = docs.select(*keep).withColumn("text", F.col("text").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return own.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
 
 
 def _vocab_path() -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import LOWER, U64, batch_rows, mix, prefix_hash, slices, span_hash, words
+from hopweave.llm._bytes import LOWER, U64, batch_rows, mix, prefix_hash, slices, span_hash, words, trimmed
 from hopweave.llm._units import over_units
 from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
@@ -78,7 +78,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n", "set_key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_key binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n long, set_key binary, sig array<int>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     # An id of several rows is one document: the caller's rows have been reduced to distinct ids.
-    return own.mapInArrow(run, "id long, members binary")
+    return own.mapInArrow(trimmed(run), "id long, members binary")
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

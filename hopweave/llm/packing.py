@@ -12,6 +12,7 @@ sorted in one task.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import batch_rows
+from hopweave.llm._bytes import batch_rows, trimmed
 from hopweave.storage import materialize
 
 #: Rows of one length that are ranked together, about.
@@ -29,42 +30,54 @@ CACHE = 200_000
 _caches: dict[str, tuple] = {}
 
 
+# Texts whose blanks and line feeds are all single ones between other characters, and that have no other white space.
+_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+
+
 def encoder(path: str):
     """texts -> little-endian uint32 ids of each, by the tokenizers library.
 
-    The vocabulary's pre-tokenizer always cuts before a single blank between two other characters, so the words
-    between such blanks are encoded apart, distinct ones once, and their ids are put together again.
+    The vocabulary's pre-tokenizer always cuts around a single line feed and before a single blank between two other characters. Words between
+    those are encoded apart, distinct ones once (many at a time, with a line feed between them), and their ids are put
+    together again. Texts with other white space are encoded whole.
     """
     if path not in _caches:
         from tokenizers import Tokenizer
 
         _caches[path] = Tokenizer.from_file(path), {}
     tokenizer, cache = _caches[path]
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    if len(feed) != 1 or tokenizer.encode("a\n b", add_special_tokens=False).ids != [*tokenizer.encode("a", add_special_tokens=False).ids, *feed, *tokenizer.encode(" b", add_special_tokens=False).ids]:
+        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    line_feed = np.array(feed, "<u4").tobytes()
+
+    def learn(words: list[str]) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == feed[0])
+            if len(cut) != len(part) - 1:
+                raise AssertionError("a word holds a line feed")
+            cut, data = [0, *((cut + 1) * 4).tolist(), 4 * len(ids) + 4], ids.tobytes()
+            cache.update((w, data[a : b - 4]) for w, a, b in zip(part, cut, cut[1:]))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            parts = text.split(" ")
-            if "" in parts or any(not p[0].strip() or not p[-1].strip() for p in parts):  # runs of spaces stay whole with what is around them
-                out, held = [], None
-                for p in parts:
-                    if held is None:
-                        held = p
-                    elif p and held and not p[0].isspace() and not held[-1].isspace():
-                        out.append(held)
-                        held = " " + p
-                    else:
-                        held += " " + p
-                split.append([x for x in (*out, held) if x])
-            else:
-                split.append([parts[0], *[" " + p for p in parts[1:]]])
         if len(cache) > CACHE:
             cache.clear()
-        fresh = list({w for ws in split for w in ws if w not in cache})
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+        out: list = [None] * len(texts)
+        odd, split = [], []
+        for i, text in enumerate(texts):
+            if not text or _ODD.search(text):
+                odd.append(i)
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                split.append((i, [[ws[0], *[" " + w for w in ws[1:]]] for ws in lines]))
+        learn(list({w for _, lines in split for ws in lines for w in ws if w not in cache}))
+        for i, lines in split:
+            out[i] = line_feed.join([b"".join(map(cache.__getitem__, ws)) for ws in lines])
+        for i, e in zip(odd, tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False) if odd else ()):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     return encode
 
@@ -81,9 +94,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
         encode = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for a in range(0, batch.num_rows, 256):
-                texts = batch["text"][a : a + 256].to_pylist()
-                for doc, ids in zip(batch["doc_id"][a : a + 256].to_pylist(), encode([t or "" for t in texts])):
+            for a in range(0, batch.num_rows, 500):
+                texts = batch["text"][a : a + 500].to_pylist()
+                for doc, ids in zip(batch["doc_id"][a : a + 500].to_pylist(), encode([t or "" for t in texts])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -93,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import SPACE, U64, batch_rows, mix, prefix_hash, slices, span_hash
+from hopweave.llm._bytes import SPACE, U64, batch_rows, mix, prefix_hash, slices, span_hash, trimmed
 
 BITS = 18
 #: Labelled documents drawn for training, about.
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             f = list(features(batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"].cast(pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in f], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in f], pa.binary())], ["doc_id", "y", "i", "v"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, i binary, v binary").toArrow()
+    got = rows.mapInArrow(trimmed(run), "doc_id long, y int, i binary, v binary").toArrow()
     model = Ftrl()
     order = np.argsort(got["doc_id"].to_numpy())
     y = (got["y"].to_numpy() > 0).astype(float)
@@ -140,7 +140,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     own = docs.select(*keep).withColumn("text", F.col("text").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return own.mapInArrow(trimmed(run), f"{kinds}, score double, predicted int")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

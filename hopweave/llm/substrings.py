@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import U64, batch_rows, binary, mix, powers, prefix_hash, slices, span_hash
+from hopweave.llm._bytes import U64, batch_rows, binary, mix, powers, prefix_hash, slices, span_hash, trimmed
 from hopweave.llm._units import bounds, over_runs
 from hopweave.storage import discard, materialize
 
@@ -262,16 +262,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def covered_spans(docs: DataFrame) -> DataFrame:
     """(id, x, y) spans, overlapping as they come, whose union per row of docs(id, text) is what repeats something earlier."""
     own = docs.select("id", "text")
-    met = materialize(over_runs(own.mapInArrow(_emit_anchors, "h long, c long, id long, at long"), ["h"], _meet, "kind long, id long, x long, y long", ["c", "id", "at"]), "sub-met")
+    met = materialize(over_runs(own.mapInArrow(trimmed(_emit_anchors), "h long, c long, id long, at long"), ["h"], _meet, "kind long, id long, x long, y long", ["c", "id", "at"]), "sub-met")
     places = met.where("kind > 0").groupBy("id").agg(F.collect_list(F.struct("kind", "x", "y")).alias("places"))
-    rows = own.join(places, "id").mapInArrow(_surroundings, "kind long, h long, id long, pos long, left long, right long, bytes binary")
+    rows = own.join(places, "id").mapInArrow(trimmed(_surroundings), "kind long, h long, id long, pos long, left long, right long, bytes binary")
     many = not met.where("kind = 2").isEmpty()
     if many:
         rows = materialize(rows, "sub-around")
     compared = over_runs(rows.where("kind = 1"), ["h"], _compare, "id long, x long, y long", ["id", "pos"])
     spans = met.where("kind = 0").select("id", "x", "y").union(compared)
     if many:
-        strings = materialize(rows.where("kind = 2").mapInArrow(_strings, "w long, id long, p long"), "sub-strings")
+        strings = materialize(rows.where("kind = 2").mapInArrow(trimmed(_strings), "w long, id long, p long"), "sub-strings")
         first = strings.groupBy("w").agg(F.min(F.struct("id", "p")).alias("f"), F.count("*").alias("k")).where("k > 1").select("w", "f")
         late = strings.join(materialize(first, "sub-first"), "w").where(F.struct("id", "p") > F.col("f"))
         spans = spans.union(late.select("id", F.col("p").alias("x"), (F.col("p") + LENGTH).alias("y")))
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
     kind = docs.schema["extra"].dataType.simpleString()
-    return docs.join(lists, "id", "left").select("doc_id", "extra", "text", "spans").mapInArrow(run, f"doc_id long, extra {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(lists, "id", "left").select("doc_id", "extra", "text", "spans").mapInArrow(trimmed(run), f"doc_id long, extra {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import batch_rows
+from hopweave.llm._bytes import batch_rows, trimmed
 from hopweave.storage import discard, materialize
 
 # Fixed values of the formats.
@@ -165,7 +165,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.warc.zst"]), pa.array([b"".join(parts)], pa.binary())], ["archive", "content"])
 
     rows = pages.withColumn("digest", digest).join(first, "digest", "left").select("page_id", "url", "html", "digest", "first")
-    out = materialize(rows.mapInArrow(run, "archive string, content binary"), "warc-archives")
+    out = materialize(rows.mapInArrow(trimmed(run), "archive string, content binary"), "warc-archives")
     discard(first)
     return out
 
@@ -208,7 +208,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if out[0]:
                     yield flush()
 
-    return archives.select("content").mapInArrow(run, "page_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archives.select("content").mapInArrow(trimmed(run), "page_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def export(archives: DataFrame, folder: str) -> None:
@@ -222,7 +222,7 @@ def export(archives: DataFrame, folder: str) -> None:
                 os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
             yield batch.select(["archive"])
 
-    archives.mapInArrow(run, "archive string").count()
+    archives.mapInArrow(trimmed(run), "archive string").count()
 
 
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
