@@ -12,7 +12,7 @@ sorted in one task.
 from __future__ import annotations
 
 import bisect
-import re
+import json
 import zlib
 
 import numpy as np
@@ -26,58 +26,51 @@ from hopweave.storage import materialize
 
 #: Rows of one length that are ranked together, about.
 BLOCK = 50_000
-CACHE = 200_000
-_caches: dict[str, tuple] = {}
+_encoders: dict[str, tuple] = {}
 
 
-# Texts whose blanks and line feeds are all single ones between other characters, and that have no other white space.
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+# The published split pattern of byte-level BPE vocabularies of this kind, a fixed value.
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Byte strings and ids of a byte-level BPE whose ids are in the order of its merges; None for any other tokenizer."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    vocab = {k: v for k, v in model["vocab"].items() if k not in added}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in merged or any(x >= y for x, y in zip(merged, merged[1:])) or len(merged) + 256 != len(vocab):
+        return None
+    return {bytes(code[c] for c in k): v for k, v in vocab.items()}
 
 
 def encoder(path: str):
-    """texts -> little-endian uint32 ids of each, by the tokenizers library.
+    """texts -> little-endian uint32 ids of each, those of the tokenizers library without special tokens added.
 
-    The vocabulary's pre-tokenizer always cuts around a single line feed and before a single blank between two other characters. Words between
-    those are encoded apart, distinct ones once (many at a time, with a line feed between them), and their ids are put
-    together again. Texts with other white space are encoded whole.
+    Byte-level BPE vocabularies run on tiktoken's core, several times faster with the same ids (the vocabulary and merges come from the tokenizers
+    file); a text that holds the string of an added token, and any other kind of vocabulary, runs on the tokenizers library.
     """
-    if path not in _caches:
+    if path not in _encoders:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        _caches[path] = Tokenizer.from_file(path), {}
-    tokenizer, cache = _caches[path]
-    feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    if len(feed) != 1 or tokenizer.encode("a\n b", add_special_tokens=False).ids != [*tokenizer.encode("a", add_special_tokens=False).ids, *feed, *tokenizer.encode(" b", add_special_tokens=False).ids]:
-        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    line_feed = np.array(feed, "<u4").tobytes()
-
-    def learn(words: list[str]) -> None:
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == feed[0])
-            if len(cut) != len(part) - 1:
-                raise AssertionError("a word holds a line feed")
-            cut, data = [0, *((cut + 1) * 4).tolist(), 4 * len(ids) + 4], ids.tobytes()
-            cache.update((w, data[a : b - 4]) for w, a, b in zip(part, cut, cut[1:]))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ranks = _ranks(spec)
+        core = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        _encoders[path] = Tokenizer.from_file(path), core, [t["content"] for t in spec.get("added_tokens", ())]
+    tokenizer, core, added = _encoders[path]
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
         out: list = [None] * len(texts)
-        odd, split = [], []
-        for i, text in enumerate(texts):
-            if not text or _ODD.search(text):
-                odd.append(i)
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                split.append((i, [[ws[0], *[" " + w for w in ws[1:]]] for ws in lines]))
-        learn(list({w for _, lines in split for ws in lines for w in ws if w not in cache}))
-        for i, lines in split:
-            out[i] = line_feed.join([b"".join(map(cache.__getitem__, ws)) for ws in lines])
-        for i, e in zip(odd, tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False) if odd else ()):
+        slow = [i for i, t in enumerate(texts) if core is None or any(a in t for a in added)]
+        for i, e in zip(slow, tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False) if slow else ()):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        return [x if x is not None else core.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for x, t in zip(out, texts)]
 
     return encode
 
