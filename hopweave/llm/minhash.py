@@ -34,7 +34,7 @@ from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
 
 COORDINATES, MATCHES = 64, 36
-TILE = 256
+TILE = 512
 _SEED = np.random.default_rng(20250101)
 _A = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _SEED.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
@@ -84,11 +84,13 @@ def features(docs: DataFrame, size: int) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"], size)], pa.binary())], ["id", "members"])
+            full = list(shingle_sets(batch["text"], size))
+            small = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in full]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in full], pa.binary()), pa.array(small, pa.binary())], ["id", "members", "small"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     # An id of several rows is one document: the caller's rows have been reduced to distinct ids.
-    return own.mapInArrow(trimmed(run), "id long, members binary")
+    return own.mapInArrow(trimmed(run), "id long, members binary, small binary")
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -123,46 +125,54 @@ def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     placed = roles.join(size, "main").withColumn("h", F.xxhash64("id"))
     left = placed.where("comp <> main").select("main", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(0).alias("side"), "id", "comp")
     right = placed.select("main", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), "id", "comp")
-    rows = left.union(right).join(sigs, "id").join(sets, "id")
+    rows = left.union(right).join(sigs, "id")
 
-    def unit(t: pa.Table) -> pa.RecordBatch | None:
-        side, ids, comp = (t[c].to_numpy() for c in ("side", "id", "comp"))
+    def agreeing(t: pa.Table) -> pa.RecordBatch | None:
+        """The rows of a unit that have a partner in another component with enough coordinates in common."""
+        side, comp = t["side"].to_numpy(), t["comp"].to_numpy()
         sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(side), COORDINATES)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        agree = np.zeros((len(x), len(y)), np.int16)
+        agree = np.zeros((len(x), len(y)), np.int8)
         for k in range(COORDINATES):
             agree += sig[x, k][:, None] == sig[y, k][None, :]
-        agree[comp[x][:, None] == comp[y][None, :]] = 0
-        hit = agree >= MATCHES
-        x, y = x[hit.any(1)], y[hit.any(0)]
-        if not len(x):
+        hit = (agree >= MATCHES) & (comp[x][:, None] != comp[y][None, :])
+        keep = np.r_[x[hit.any(1)], y[hit.any(0)]]
+        return t.select(["main", "i", "j", "side", "id", "comp"]).take(pa.array(keep)).combine_chunks().to_batches()[0] if len(keep) else None
+
+    near = over_units(rows, ["main", "i", "j"], agreeing, "main long, i long, j long, side int, id long, comp long")
+    near = near.join(sets.select("id", "small", (F.octet_length("members") / 8).cast("long").alias("n")), "id")
+
+    def unit(t: pa.Table) -> pa.RecordBatch | None:
+        """Pairs whose 32-bit sets, in which strangers may look equal but equals never look strange, are similar enough."""
+        side, ids, comp, full = (t[c].to_numpy() for c in ("side", "id", "comp", "n"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
             return None
-        hit = hit[hit.any(1)][:, hit.any(0)]
-        held = t["members"].combine_chunks()
-        both = [[np.frombuffer(held[int(i)].as_buffer(), U64) for i in of] for of in (x, y)]
-        n = [np.array([len(s) for s in of]) for of in both]
-        cols = [np.unique(np.concatenate(of)) for of in both]
-        cols = np.intersect1d(*cols, assume_unique=True)
+        held = t["small"].combine_chunks()
+        both = [[np.frombuffer(held[int(i)].as_buffer(), np.uint32) for i in of] for of in (x, y)]
+        size = [np.array([len(s) for s in of]) for of in both]
+        cols = np.intersect1d(*(np.unique(np.concatenate(of)) for of in both), assume_unique=True)
         total = np.zeros((len(x), len(y)), np.float32)
-        spot = [np.concatenate([np.searchsorted(cols, s) for s in of]) for of in both]
         real = [np.concatenate(of) for of in both]
-        owner = [np.repeat(np.arange(len(k)), k) for k in n]
-        for c in range(0, len(cols), 8192):  # exact sizes of the intersections, by bounded blocks of shingles
+        spot = [np.searchsorted(cols, r) for r in real]
+        owner = [np.repeat(np.arange(len(k)), k) for k in size]
+        for c in range(0, len(cols), 8192):  # sizes of the intersections, by bounded blocks of shingles
             m = []
             for q in (0, 1):
                 at = np.flatnonzero((spot[q] >= c) & (spot[q] < min(c + 8192, len(cols))))
                 at = at[cols[spot[q][at]] == real[q][at]]
-                z = np.zeros((len(n[q]), min(8192, len(cols) - c)), np.float32)
+                z = np.zeros((len(size[q]), min(8192, len(cols) - c)), np.float32)
                 z[owner[q][at], spot[q][at] - c] = 1
                 m.append(z)
             total += m[0] @ m[1].T
-        total = total.astype(np.int64)
-        hit &= 100 * total >= percent * (n[0][:, None] + n[1][None, :] - total)
+        lost = (full[x] - size[0])[:, None] + (full[y] - size[1])[None, :]
+        total = total.astype(np.int64) + lost
+        hit = (100 * total >= percent * (full[x][:, None] + full[y][None, :] - total)) & (comp[x][:, None] != comp[y][None, :])
         i, j = np.nonzero(hit)
         a, b = ids[x[i]], ids[y[j]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return over_units(rows, ["main", "i", "j"], unit, "a long, b long").distinct()
+    return _confirm(over_units(near, ["main", "i", "j"], unit, "a long, b long").distinct(), sigs, sets, percent)
 
 
 def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -25,7 +25,7 @@ from hopweave.llm._bytes import batch_rows, trimmed
 from hopweave.storage import materialize
 
 #: Rows of one length that are ranked together, about.
-BLOCK = 50_000
+BLOCK = 5_000
 _encoders: dict[str, tuple] = {}
 
 
