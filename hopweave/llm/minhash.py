@@ -35,6 +35,8 @@ from hopweave.storage import discard, materialize
 
 COORDINATES, MATCHES = 64, 36
 TILE = 512
+#: Ids that are broadcast at most, 16 bytes each.
+BROADCAST_IDS = 250_000
 _SEED = np.random.default_rng(20250101)
 _A = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _SEED.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
@@ -82,23 +84,32 @@ def features(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, members, small) of the documents with these ids: the set as 64-bit hashes, and as their upper halves."""
+
     def run(batches):
         for batch in batches:
             full = list(shingle_sets(batch["text"], size))
             small = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in full]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in full], pa.binary()), pa.array(small, pa.binary())], ["id", "members", "small"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # An id of several rows is one document: the caller's rows have been reduced to distinct ids.
-    return own.mapInArrow(trimmed(run), "id long, members binary, small binary")
+    ids = materialize(ids.select(F.col("id").alias("doc_id")).distinct(), "mh-ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # A few megabytes of ids go to the texts; more of them meet the texts in a shuffle.
+    return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(trimmed(run), "id long, members binary, small binary")
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that agree in enough coordinates and whose full sets are similar enough."""
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Of the candidate pairs (a, b), those that agree in enough coordinates."""
     for c in "ab":
         pairs = pairs.join(sigs.select(F.col("id").alias(c), F.col("sig").alias("s" + c)), c)
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.where(agree >= MATCHES).select("a", "b")
+    return pairs.where(agree >= MATCHES).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), a stored table, those whose full sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = materialize(_sets(docs, ids, size).select("id", "members"), "mh-sets")
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("members").alias("m" + c)), c)
 
@@ -111,18 +122,20 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(trimmed(run), "a long, b long")
+    out = materialize(pairs.mapInArrow(trimmed(run), "a long, b long"), "mh-links")
+    discard(sets)
+    return out
 
 
-def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(roles: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Similar pairs (a, b) of roles(main, id, comp) that share a main and differ in comp, at least one outside main.
 
     The rows of a main are cut into tiles of about TILE, and each pair of tiles is one unit, so no pair is a row
     before it is confirmed and no task holds more than two tiles.
     """
-    size = roles.groupBy("main").agg(F.sum((F.col("comp") != F.col("main")).cast("int")).alias("m"), F.count("*").alias("k"))
-    size = materialize(size.select("main", F.ceil(F.col("m") / TILE).alias("ni"), F.ceil(F.col("k") / TILE).alias("nj")), "mh-size")
-    placed = roles.join(size, "main").withColumn("h", F.xxhash64("id"))
+    tiles = roles.groupBy("main").agg(F.sum((F.col("comp") != F.col("main")).cast("int")).alias("m"), F.count("*").alias("k"))
+    tiles = materialize(tiles.select("main", F.ceil(F.col("m") / TILE).alias("ni"), F.ceil(F.col("k") / TILE).alias("nj")), "mh-tiles")
+    placed = roles.join(tiles, "main").withColumn("h", F.xxhash64("id"))
     left = placed.where("comp <> main").select("main", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(0).alias("side"), "id", "comp")
     right = placed.select("main", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), "id", "comp")
     rows = left.union(right).join(sigs, "id")
@@ -139,8 +152,9 @@ def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
         keep = np.r_[x[hit.any(1)], y[hit.any(0)]]
         return t.select(["main", "i", "j", "side", "id", "comp"]).take(pa.array(keep)).combine_chunks().to_batches()[0] if len(keep) else None
 
-    near = over_units(rows, ["main", "i", "j"], agreeing, "main long, i long, j long, side int, id long, comp long")
-    near = near.join(sets.select("id", "small", (F.octet_length("members") / 8).cast("long").alias("n")), "id")
+    near = materialize(over_units(rows, ["main", "i", "j"], agreeing, "main long, i long, j long, side int, id long, comp long"), "mh-near")
+    small = materialize(_sets(docs, near, size).select("id", "small", (F.octet_length("members") / 8).cast("long").alias("n")), "mh-small")
+    near = near.join(small, "id")
 
     def unit(t: pa.Table) -> pa.RecordBatch | None:
         """Pairs whose 32-bit sets, in which strangers may look equal but equals never look strange, are similar enough."""
@@ -150,29 +164,29 @@ def _across(roles: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
             return None
         held = t["small"].combine_chunks()
         both = [[np.frombuffer(held[int(i)].as_buffer(), np.uint32) for i in of] for of in (x, y)]
-        size = [np.array([len(s) for s in of]) for of in both]
+        own = [np.array([len(s) for s in of]) for of in both]
         cols = np.intersect1d(*(np.unique(np.concatenate(of)) for of in both), assume_unique=True)
         total = np.zeros((len(x), len(y)), np.float32)
         real = [np.concatenate(of) for of in both]
         spot = [np.searchsorted(cols, r) for r in real]
-        owner = [np.repeat(np.arange(len(k)), k) for k in size]
+        owner = [np.repeat(np.arange(len(k)), k) for k in own]
         for c in range(0, len(cols), 8192):  # sizes of the intersections, by bounded blocks of shingles
             m = []
             for q in (0, 1):
                 at = np.flatnonzero((spot[q] >= c) & (spot[q] < min(c + 8192, len(cols))))
                 at = at[cols[spot[q][at]] == real[q][at]]
-                z = np.zeros((len(size[q]), min(8192, len(cols) - c)), np.float32)
+                z = np.zeros((len(own[q]), min(8192, len(cols) - c)), np.float32)
                 z[owner[q][at], spot[q][at] - c] = 1
                 m.append(z)
             total += m[0] @ m[1].T
-        lost = (full[x] - size[0])[:, None] + (full[y] - size[1])[None, :]
+        lost = (full[x] - own[0])[:, None] + (full[y] - own[1])[None, :]
         total = total.astype(np.int64) + lost
         hit = (100 * total >= percent * (full[x][:, None] + full[y][None, :] - total)) & (comp[x][:, None] != comp[y][None, :])
         i, j = np.nonzero(hit)
         a, b = ids[x[i]], ids[y[j]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _confirm(over_units(near, ["main", "i", "j"], unit, "a long, b long").distinct(), sigs, sets, percent)
+    return _confirm(materialize(over_units(near, ["main", "i", "j"], unit, "a long, b long").distinct(), "mh-pairs"), docs, size, percent)
 
 
 def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -198,12 +212,11 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     discard(shared)
     ids = postings.select("id").distinct()
     sigs = materialize(reps.join(ids, "id", "left_semi"), "mh-sigs")
-    sets = materialize(_sets(docs, sigs, size).dropDuplicates(["id"]), "mh-sets")
     discard(reps)
 
     first = postings.groupBy("item").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("item", "a")
     star = postings.join(materialize(first, "mh-first"), "item").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = materialize(_confirm(star, sigs, sets, percent), "mh-links")
+    links = _confirm(materialize(_agreeing(star, sigs), "mh-pairs"), docs, size, percent)
     comps = connected_components(links)
 
     # What is left: pairs of one posting list in different components, the list's largest component not among itself.
@@ -211,10 +224,10 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     by = placed.groupBy("item", "comp").agg(F.count("*").alias("k"))
     mixed = materialize(by.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("n")).where("n > 1").select("item", F.col("m.comp").alias("main")), "mh-mixed")
     roles = materialize(placed.join(mixed, "item").select("main", "id", "comp").distinct(), "mh-roles")
-    more = materialize(_across(roles, sigs, sets, percent), "mh-links")
+    more = _across(roles, sigs, docs, size, percent)
     if not more.isEmpty():
         comps = connected_components(links.union(more))
-    discard(postings, placed, mixed, roles, sigs, sets)
+    discard(postings, placed, mixed, roles, sigs)
 
     member = feats.select("doc_id", "n", "set_key").join(classes, "set_key", "left").drop("set_key")
     out = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
