@@ -76,24 +76,53 @@ def parse(rendered: str) -> list[Turn]:
     return out
 
 
-def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int, int, int]]]:
+#: Whole prefixes are rendered up to this turn; later turns are rendered with WINDOW turns before them.
+LONG, WINDOW = 64, 16
+
+
+def _step(context: list[Turn], role: str, now: str, before: str, render, at: str) -> tuple[int, int]:
+    """Where the text of the turn after context begins and ends in now."""
+    probes = [render([*context, (role, x)]) for x in ("", "a", "b")]
+    if not all(x.startswith(before) for x in (now, *probes)):
+        raise RewrittenHistory(f"{at} changes what is before it")
+    start = len(os.path.commonprefix(probes[1:]))
+    end = start + len(now) - len(probes[0])
+    if not (len(before) <= start <= end <= len(now)) or now[:start] != probes[1][:start] or now[end:] != probes[0][start:]:
+        raise RewrittenHistory(f"{at} has no single text span")
+    return start, end
+
+
+def spans(turns: list[Turn], render: Callable[[list[Turn]], str], long: int = LONG) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The rendered conversation, and (span start, text start, text end, span end) of each turn.
 
-    RewrittenHistory where a prefix does not continue the prefix before.
+    RewrittenHistory where a prefix does not continue the prefix before. Rendering every prefix costs the square of the number of turns, so
+    turns beyond ``long`` are rendered with the WINDOW turns before them only, and what they add is put together; at each doubling of the length and at the end
+    that has to equal the whole prefix as rendered. Where it does not, every prefix is rendered after all.
     """
     found, before = [], render([])
-    for i, (role, _) in enumerate(turns):
+    for i, (role, _) in enumerate(turns[:long]):
         now = render(turns[: i + 1])
-        probes = [render([*turns[:i], (role, x)]) for x in ("", "a", "b")]
-        if not all(x.startswith(before) for x in (now, *probes)):
-            raise RewrittenHistory(f"turn {i} changes what is before it")
-        start = len(os.path.commonprefix(probes[1:]))
-        end = start + len(now) - len(probes[0])
-        if not (len(before) <= start <= end <= len(now)) or now[:start] != probes[1][:start] or now[end:] != probes[0][start:]:
-            raise RewrittenHistory(f"turn {i} has no single text span")
+        start, end = _step(turns[:i], role, now, before, render, f"turn {i}")
         found.append((len(before), start, end, len(now)))
         before = now
-    return before, found
+    if len(turns) <= long:
+        return before, found
+    parts, size, check = [before], len(before), 2 * long
+    try:
+        for i in range(long, len(turns)):
+            context = turns[i - WINDOW : i] if long >= WINDOW else turns[:i]
+            old, now = render(context), render([*context, turns[i]])
+            start, end = _step(context, turns[i][0], now, old, render, f"turn {i}")
+            found.append((size, size + start - len(old), size + end - len(old), size + len(now) - len(old)))
+            parts.append(now[len(old) :])
+            size = found[-1][3]
+            if i + 1 in (check, len(turns)):
+                check *= 2
+                if "".join(parts) != render(turns[: i + 1]):
+                    raise RewrittenHistory("a turn depends on more than the turns just before it")
+    except RewrittenHistory:
+        return spans(turns, render, len(turns))
+    return "".join(parts), found
 
 
 def format_conversations(rows: DataFrame, render: Callable[[list[Turn]], str] = template) -> DataFrame:

@@ -141,6 +141,16 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_long_chats():
+    rnd = random.Random(3)
+    turns = [(rnd.choice(["user", "assistant", "tool"]), rnd.choice(["", "a", "</s>", "x" * 30])) for _ in range(300)]
+    assert chat.spans(turns, chat.template) == chat.spans(turns, chat.template, len(turns))
+    counted = lambda t: "".join(f"{i}:{chat.template([x])}" for i, x in enumerate(t))  # noqa: E731  needs every turn before it
+    assert chat.spans(turns, counted) == chat.spans(turns, counted, len(turns))
+    with pytest.raises(chat.RewrittenHistory):
+        chat.spans(turns, lambda t: chat.template(t[-100:]))
+
+
 def test_packing(spark):
     rows, docs = corpus(spark)
     docs = docs.union(spark.createDataFrame([(2000, "word " * 3000, "en", "s", "x", 1)], SCHEMA))
