@@ -152,3 +152,21 @@ TEMPLATES = {
 SEARCH_OPERATORS = ["site:", "inurl:", "filetype:", "intitle:", "cache:"]
 MOST_HYPOTHESIS_CHARS = 160
 BASIS_STRENGTH = {"shared_page": 4, "canonical_url": 3, "attribute_match": 2, "name_only": 1}
+
+#: What each angle of research adds to a node's queries.
+ANGLES = {"current_employer_leadership": ["employer_team"], "past_employers": ["past_employers"], "board_or_advisory": ["governance"], "industry_peers": [], "generic": ["governance"]}
+
+# --- providers, fixed values ---
+#: Followed properties of an entity, in order, and how the target relates to it.
+PROPERTIES = {"P26": "spouse of", "P22": "father of", "P25": "mother of", "P40": "parent of", "P3373": "sibling of", "P108": "employed by", "P1066": "student of", "P802": "taught", "P463": "member of"}
+INSTANCE_OF, HUMAN, MOST_TARGETS = "P31", "Q5", 24
+PROSE_FORMS = ["EX-99", "8-K", "S-1", "424B", "DEF 14A", "10-K", "20-F", "6-K"]
+INSTITUTION_NOISE = "university universite college institute school of the and for center centre department dept lab laboratory hospital medical research national state system inc".split()
+NONPROFIT_NOISE = "the of and for inc llc foundation trust institute association society center centre".split()
+DOMAIN_NOISE = "the inc llc ltd corp corporation company co group holdings plc gmbh limited and".split()
+TEAM_PATHS = ["/team", "/our-team", "/people", "/about/team", "/leadership", "/partners"]
+TLDS = [".com", ".io", ".co", ".vc", ".org"]
+ARTICLE_URL, ENTITY_URL = "https://en.wikipedia.org/wiki/", "https://www.wikidata.org/wiki/"
+FILING_URL = "https://www.sec.gov/Archives/edgar/data/"
+NONPROFIT_URL = "https://projects.propublica.org/nonprofits/organizations/"
+COMPANY_URL = "https://opencorporates.com/companies/"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopweave import dictionaries as D
 from hopweave.functions.attrs import any_of
+from hopweave.functions.names import fold
 
 
 def normalize_text(raw: Column) -> Column:
@@ -95,7 +96,7 @@ def verdict(value: Column) -> Column:
 
 
 def domain_candidates(org: Column, tlds: list[str]) -> Column:
-    """Guessed host names of an organisation: words joined, and joined by hyphens, under each top level."""
-    words = F.filter(F.split(F.lower(org), "[^a-z0-9]+"), lambda w: w != "")
-    stems = F.array_distinct(F.array(F.array_join(words, ""), F.array_join(words, "-")))
-    return F.flatten(F.transform(stems, lambda s: F.transform(F.array(*map(F.lit, tlds)), lambda t: F.concat(s, F.lit("."), t))))
+    """Guessed host names of an organisation: its words but for legal ones, joined, and joined by hyphens, under each top level (with its dot)."""
+    words = F.filter(F.split(F.regexp_replace(fold(org), "[,.]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(D.DOMAIN_NOISE))
+    stems = F.when(F.size(words) > 0, F.array_distinct(F.array(F.array_join(words, ""), F.array_join(words, "-")))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(stems, lambda s: F.transform(F.array(*map(F.lit, tlds)), lambda t: F.concat(s, t))))

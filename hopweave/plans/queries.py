@@ -11,27 +11,11 @@ from hopweave.functions import attrs as A
 from hopweave.functions import names as N
 from hopweave.functions import text as T
 from hopweave.operators import graph, ground, parse, resolve, tables
+from hopweave.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from hopweave.plans.registry import table as _t
 from hopweave.sources import recorded as R
 from hopweave.streaming import jobs as J
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
-
-
 def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -470,3 +454,6 @@ def r2_stream_totals(spark, sf):
     q = J.stream_totals(rows, "user_id", "cost").writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+from hopweave.plans import evidence, providers  # noqa: E402, F401  (they register their queries)

@@ -62,26 +62,13 @@ def batches(df: DataFrame, size: int, *order, most: int | None = None) -> DataFr
 
 
 def nonprofit_match(wanted: Column, found: Column) -> Column:
-    """Whether a found organisation's words hold all wanted ones (two at least) and one more at most."""
-    return (F.size(wanted) >= 2) & (F.size(F.array_except(wanted, found)) == 0) & (F.size(F.array_except(found, wanted)) <= 1)
+    """Whether a found organisation's words hold all wanted ones and one more at most."""
+    return (F.size(F.array_except(wanted, found)) == 0) & (F.size(F.array_except(found, wanted)) <= 1)
 
 
 def filing_url(hit_id: Column, cik: Column) -> Column:
     parts = F.split(hit_id, ":")
-    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace(cik, "^0+", ""), F.lit("/"), F.replace(parts[0], F.lit("-"), F.lit("")), F.lit("/"), parts[1])
-
-
-def works_between(works: DataFrame, fewest: int = 2, most_authors: int = 30, most: int = 10) -> DataFrame:
-    """A person's most cited works with a number of authors in range."""
-    sized = works.where((F.size("authors") >= fewest) & (F.size("authors") <= most_authors))
-    return top_per(sized, ["person"], most, F.desc("cited_by"), "work_id").withColumn("url", F.coalesce("landing_page", "doi", "work_id"))
-
-
-def roster_paths(orgs: DataFrame, live_hosts: DataFrame, tlds: list[str], paths: list[str]) -> DataFrame:
-    """Conventional paths under an organisation's first live guessed host. The guesses are a few per organisation."""
-    guesses = orgs.select("org", F.posexplode(T.domain_candidates(F.col("org"), tlds)).alias("rank", "host"))
-    live = first_per(guesses.join(live_hosts, "host", "left_semi"), ["org"], "rank")
-    return live.select("org", F.explode(F.array(*[F.concat(F.lit("https://"), F.col("host"), F.lit(p)) for p in paths])).alias("url"))
+    return F.concat(F.lit(D.FILING_URL), F.regexp_replace(cik, "^0+", ""), F.lit("/"), F.replace(parts[0], F.lit("-"), F.lit("")), F.lit("/"), parts[1])
 
 
 def claim_extractions(claims: DataFrame) -> DataFrame:

@@ -41,3 +41,8 @@ def summaries(jobs: DataFrame, as_of: Column, most: int = 50) -> DataFrame:
 def stream_totals(events: DataFrame, job: str, cost: str, ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
     """Running counters of each job and hour over a stream of events."""
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, "1 hour").alias("w"), job).agg(F.count("*").alias("events"), F.sum(cost).alias("spent")).select(F.col("w.start").alias("hour"), job, "events", "spent")
+
+
+def snapshot(events: DataFrame, job: str, kind: str, cost: str, kinds: list[str]) -> DataFrame:
+    """One row of counters per job: what was spent on each kind, and in all."""
+    return events.groupBy(job).agg(*[F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(cost))), F.lit(0)).alias(k) for k in kinds], F.sum(cost).alias("total"))
