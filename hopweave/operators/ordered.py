@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ def scan(df: DataFrame, key: str, order: list[str], start: Callable[[], object],
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
+                row = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in row.items()}
                 if state is None or row[key] != at:
                     at, state = row[key], start()
                 out += step(state, row)
