@@ -3,7 +3,7 @@
 The graph starts from random groups and improves by joins of neighbours of
 neighbours: each vector's sampled neighbours and reverse neighbours meet at it, are compared
 with one another there, and a comparison that beats either side's last neighbour is sent to that side.
-Joins carry 8-bit vectors; scores of results are computed from the originals in double precision.
+Joins carry the vectors as given; all scores are computed in double precision.
 
 A query then walks the graph from its own place: each round opens the best unopened
 vectors of its pool, asks for their neighbours' scores, and keeps the best of all. Vectors
@@ -25,23 +25,24 @@ from hopweave.storage import discard, materialize
 
 NEIGHBOURS, SAMPLED, GROUP, STARTS, ROUNDS = 40, 20, 128, 4, 5
 POOL, OPENED, STEPS, BLOCK = 200, 60, 5, 4096
-GRAPH = "v long, nb array<long>, sc array<float>"
+GRAPH = "v long, nb array<long>, sc array<double>"
 
 
 def _best(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, k: int):
     """Rows sorted by v, best first, one per (v, nb), k per v at most: indices."""
-    o = np.lexsort((nb, -sc, v))
+    o = np.lexsort((nb, v))
     v2, nb2 = v[o], nb[o]
-    o = o[np.r_[True, (v2[1:] != v2[:-1]) | (nb2[1:] != nb2[:-1])]] if len(o) else o  # equal pairs have equal scores and so are neighbours here
+    o = o[np.r_[True, (v2[1:] != v2[:-1]) | (nb2[1:] != nb2[:-1])]] if len(o) else o
+    o = o[np.lexsort((nb[o], -sc[o], v[o]))]
     b = bounds(v[o])
     rank = np.arange(len(o)) - np.repeat(b[:-1], np.diff(b))
     return o[rank < k]
 
 
-def _lists(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, kind=pa.float32()) -> pa.RecordBatch:
+def _lists(v: np.ndarray, nb: np.ndarray, sc: np.ndarray) -> pa.RecordBatch:
     b = bounds(v)
     off = pa.array(b, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(v[b[:-1]]), pa.ListArray.from_arrays(off, pa.array(nb, pa.int64())), pa.ListArray.from_arrays(off, pa.array(sc, kind))], ["v", "nb", "sc"])
+    return pa.RecordBatch.from_arrays([pa.array(v[b[:-1]]), pa.ListArray.from_arrays(off, pa.array(nb, pa.int64())), pa.ListArray.from_arrays(off, pa.array(sc, pa.float64()))], ["v", "nb", "sc"])
 
 
 def _merge(rows: DataFrame, k: int) -> DataFrame:
@@ -60,8 +61,7 @@ def _all_pairs(tab: pa.Table, key: list[str], threshold: str | None) -> pa.Recor
     k = np.stack([tab[c].to_numpy() for c in key], 1)
     cut = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, len(k)]
     ids = tab["v"].to_numpy()
-    raw = tab["small"].combine_chunks()
-    x = np.frombuffer(b"".join(raw.to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)  # products of 8-bit integers: exact sums
+    x = tab["x"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)
     least = tab[threshold].to_numpy() if threshold else None
     out = [[], [], []]
     for a, b in zip(cut, cut[1:]):
@@ -80,20 +80,11 @@ def _all_pairs(tab: pa.Table, key: list[str], threshold: str | None) -> pa.Recor
 def build_graph(vectors: DataFrame) -> DataFrame:
     """GRAPH rows of a stored table (v long, x array<float>) of distinct v and equal lengths: each v's best neighbours, best first.
 
-    Scores are inner products in units of the 8-bit vectors.
+    Scores are inner products in double precision.
     """
-    total, top = vectors.select(F.count("*"), F.max(F.aggregate("x", F.lit(0.0).cast("float"), lambda a, y: F.greatest(a, F.abs(y))))).first()
-    scale = 127.0 / (top or 1.0)
-
-    def shrink(batches):
-        for batch in batches:
-            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
-            q = np.rint(x.astype(float) * scale).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch["v"], pa.array([r.tobytes() for r in q], pa.binary())], ["v", "small"])
-
-    small = materialize(vectors.mapInArrow(shrink, "v long, small binary"), "ann-small")
+    total = vectors.count()
     groups = max(1, total // GROUP)
-    starts = small.select("v", "small", F.explode(F.array(*[F.lit(k).cast("long") for k in range(STARTS)])).alias("t")).withColumn("g", F.pmod(F.xxhash64("v", "t"), F.lit(groups)))
+    starts = vectors.select("v", "x", F.explode(F.array(*[F.lit(k).cast("long") for k in range(STARTS)])).alias("t")).withColumn("g", F.pmod(F.xxhash64("v", "t"), F.lit(groups)))
     graph = materialize(_merge(over_runs(starts, ["t", "g"], lambda t: _all_pairs(t, ["t", "g"], None), GRAPH), NEIGHBOURS), "ann-graph")
     if groups == 1:
         return graph
@@ -103,13 +94,12 @@ def build_graph(vectors: DataFrame) -> DataFrame:
         fwd = edges.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy(order))).where(F.col("k") <= SAMPLED).select(F.col("v").alias("at"), F.col("u").alias("v"))
         rev = edges.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(order))).where(F.col("k") <= SAMPLED).select(F.col("u").alias("at"), "v")
         # A list that is not full takes anything.
-        last = graph.select("v", F.when(F.size("sc") < NEIGHBOURS, F.lit(-3.0e38)).otherwise(F.element_at("sc", -1)).cast("float").alias("least"))
-        members = fwd.union(rev).distinct().join(small.join(last, "v"), "v")
+        last = graph.select("v", F.when(F.size("sc") < NEIGHBOURS, F.lit(float("-inf"))).otherwise(F.element_at("sc", -1)).alias("least"))
+        members = fwd.union(rev).distinct().join(vectors.join(last, "v"), "v")
         found = over_runs(members, ["at"], lambda t: _all_pairs(t, ["at"], "least"), GRAPH)
         better = materialize(_merge(graph.union(found), NEIGHBOURS), "ann-graph")
         discard(graph)
         graph = better
-    discard(small)
     return graph
 
 
@@ -145,7 +135,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
             for y, z in zip(outs, (np.full(len(b), v[i]), want[b], s[b])):
                 y.append(z)
         q, nb, sc = map(np.concatenate, outs)
-        return _lists(q, nb, sc, pa.float64())
+        return _lists(q, nb, sc)
 
     def settle(tab: pa.Table) -> pa.RecordBatch:
         """One query's state row and the answers to it: the new state."""

@@ -214,6 +214,20 @@ def test_nearest(spark):
     assert ann.nearest(t.where("vec_id < 6"), t.where("vec_id = 0")).count() == 5
 
 
+def test_graph_beside_a_row_of_large_norm(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] *= 1e6
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<float>")
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, : ann.NEIGHBOURS]
+    got = {r.v: r.nb for r in ann.build_graph(rows).collect()}
+    assert sum(len(set(got[i]) & set(best[i])) for i in range(600)) >= 0.9 * best.size
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((20, 32))
