@@ -3,10 +3,11 @@
 The graph starts from random groups and improves by joins of neighbours of
 neighbours: each vector's sampled neighbours and reverse neighbours meet at it, are compared
 with one another there, and a comparison that beats either side's last neighbour is sent to that side.
+Two that have both been joined before are not compared again; rounds go on until few list entries are left that have not been joined.
 Joins carry the vectors as given; all scores are computed in double precision.
 
 A query then walks the graph from its own place: each round opens the best unopened
-vectors of its pool, asks for their neighbours' scores, and keeps the best of all. Vectors
+vectors of its pool, asks for their neighbours' scores, and keeps the best of all, until its pool has none unopened. Vectors
 are held in blocks of bounded size; a round sends each query to the blocks that hold what it asks for.
 """
 
@@ -23,14 +24,19 @@ from hopweave.llm._units import bounds, over_runs, over_units
 from hopweave.llm.vectors import usable
 from hopweave.storage import discard, materialize
 
-NEIGHBOURS, SAMPLED, GROUP, STARTS, ROUNDS = 40, 20, 128, 4, 5
-POOL, OPENED, STEPS, BLOCK = 200, 60, 5, 4096
-GRAPH = "v long, nb array<long>, sc array<double>"
+NEIGHBOURS, SAMPLED, GROUP, STARTS = 40, 20, 128, 4
+POOL, OPENED, BLOCK = 200, 60, 4096
+#: Rounds end when at most this share of the list entries is new.
+CHANGED = 0.001
+#: st of a list entry: joined in an earlier round, found and waiting, found and joined in the next round.
+JOINED, WAITING, NEXT = 0, 1, 2
+LISTS = "v long, nb array<long>, sc array<double>"
+GRAPH = LISTS + ", st array<tinyint>"
 
 
-def _best(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, k: int):
-    """Rows sorted by v, best first, one per (v, nb), k per v at most: indices."""
-    o = np.lexsort((nb, v))
+def _best(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, k: int, st: np.ndarray | None = None):
+    """Rows sorted by v, best first, one per (v, nb), that of the smallest st, k per v at most: indices."""
+    o = np.lexsort((nb, v) if st is None else (st, nb, v))
     v2, nb2 = v[o], nb[o]
     o = o[np.r_[True, (v2[1:] != v2[:-1]) | (nb2[1:] != nb2[:-1])]] if len(o) else o
     o = o[np.lexsort((nb[o], -sc[o], v[o]))]
@@ -39,42 +45,54 @@ def _best(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, k: int):
     return o[rank < k]
 
 
-def _lists(v: np.ndarray, nb: np.ndarray, sc: np.ndarray) -> pa.RecordBatch:
+def _lists(v: np.ndarray, nb: np.ndarray, sc: np.ndarray, st: np.ndarray | None = None) -> pa.RecordBatch:
     b = bounds(v)
     off = pa.array(b, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(v[b[:-1]]), pa.ListArray.from_arrays(off, pa.array(nb, pa.int64())), pa.ListArray.from_arrays(off, pa.array(sc, pa.float64()))], ["v", "nb", "sc"])
+    out = [pa.array(v[b[:-1]]), pa.ListArray.from_arrays(off, pa.array(nb, pa.int64())), pa.ListArray.from_arrays(off, pa.array(sc, pa.float64()))]
+    if st is not None:
+        out.append(pa.ListArray.from_arrays(off, pa.array(st, pa.int8())))
+    return pa.RecordBatch.from_arrays(out, ["v", "nb", "sc", "st"][: len(out)])
 
 
 def _merge(rows: DataFrame, k: int) -> DataFrame:
+    """The best k of each v; of those waiting the best SAMPLED are joined next."""
+
     def run(t: pa.Table) -> pa.RecordBatch:
         nb = t["nb"].combine_chunks()
         n = np.diff(nb.offsets.to_numpy()) if len(nb) else np.zeros(0, int)
-        v, nb, sc = np.repeat(t["v"].to_numpy(), n), nb.flatten().to_numpy(), t["sc"].combine_chunks().flatten().to_numpy()
-        o = _best(v, nb, sc, k)
-        return _lists(v[o], nb[o], sc[o])
+        v, nb, sc, st = np.repeat(t["v"].to_numpy(), n), nb.flatten().to_numpy(), t["sc"].combine_chunks().flatten().to_numpy(), t["st"].combine_chunks().flatten().to_numpy()
+        o = _best(v, nb, sc, k, st)
+        v, nb, sc, st = v[o], nb[o], sc[o], st[o].copy()
+        i = np.flatnonzero(st == WAITING)
+        c = bounds(v[i])
+        st[i[np.arange(len(i)) - np.repeat(c[:-1], np.diff(c)) < SAMPLED]] = NEXT
+        return _lists(v, nb, sc, st)
 
     return over_runs(rows, ["v"], run, GRAPH)
 
 
 def _all_pairs(tab: pa.Table, key: list[str], threshold: str | None) -> pa.RecordBatch | None:
-    """Within each run of equal keys: for each member its NEIGHBOURS best others, above its threshold where there is one."""
+    """Within each run of equal keys: for each member its NEIGHBOURS best others, above its threshold where there is one; with a threshold only pairs with a new member."""
     k = np.stack([tab[c].to_numpy() for c in key], 1)
     cut = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, len(k)]
     ids = tab["v"].to_numpy()
     x = tab["x"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)
     least = tab[threshold].to_numpy() if threshold else None
+    new = tab["new"].to_numpy(zero_copy_only=False).astype(bool) if threshold else None
     out = [[], [], []]
     for a, b in zip(cut, cut[1:]):
         s = x[a:b] @ x[a:b].T
         np.fill_diagonal(s, -np.inf)
+        if threshold:
+            s[~(new[a:b, None] | new[None, a:b]) | (s <= least[a:b, None])] = -np.inf
         if b - a > NEIGHBOURS:
             s[s < np.partition(s, b - a - NEIGHBOURS, 1)[:, b - a - NEIGHBOURS][:, None]] = -np.inf
-        i, j = np.nonzero(s > (least[a:b, None] if threshold else -np.inf))
+        i, j = np.nonzero(s > -np.inf)
         for y, z in zip(out, (ids[a:b][i], ids[a:b][j], s[i, j])):
             y.append(z)
     v, nb, sc = map(np.concatenate, out)
     o = _best(v, nb, sc, NEIGHBOURS) if len(v) else np.zeros(0, int)
-    return _lists(v[o], nb[o], sc[o]) if len(o) else None
+    return _lists(v[o], nb[o], sc[o], np.full(len(o), WAITING, np.int8)) if len(o) else None
 
 
 def build_graph(vectors: DataFrame) -> DataFrame:
@@ -88,23 +106,32 @@ def build_graph(vectors: DataFrame) -> DataFrame:
     graph = materialize(_merge(over_runs(starts, ["t", "g"], lambda t: _all_pairs(t, ["t", "g"], None), GRAPH), NEIGHBOURS), "ann-graph")
     if groups == 1:
         return graph
-    for r in range(ROUNDS):
-        edges = graph.select("v", F.explode("nb").alias("u"))
-        order = F.xxhash64("v", "u", F.lit(r))
-        fwd = edges.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy(order))).where(F.col("k") <= SAMPLED).select(F.col("v").alias("at"), F.col("u").alias("v"))
-        rev = edges.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(order))).where(F.col("k") <= SAMPLED).select(F.col("u").alias("at"), "v")
+    r = 0
+    while graph.select(F.sum(F.size(F.filter("st", lambda x: x != JOINED))) > CHANGED * F.sum(F.size("nb"))).first()[0]:
+        edges = graph.select("v", F.explode(F.arrays_zip("nb", "st")).alias("e")).select("v", F.col("e.nb").alias("u"), F.col("e.st").alias("st")).where(F.col("st") != WAITING)
+        order = [F.desc("st"), F.xxhash64("v", "u", F.lit(r))]  # new ones first
+        new = (F.col("st") == NEXT).cast("int").alias("new")
+        fwd = edges.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy(*order))).where(F.col("k") <= SAMPLED).select(F.col("v").alias("at"), F.col("u").alias("v"), new)
+        rev = edges.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(*order))).where(F.col("k") <= SAMPLED).select(F.col("u").alias("at"), "v", new)
+        both = fwd.union(rev).groupBy("at", "v").agg(F.max("new").alias("new"))
+        both = both.withColumn("any", F.max("new").over(W.partitionBy("at"))).where("any = 1").drop("any")
         # A list that is not full takes anything.
         last = graph.select("v", F.when(F.size("sc") < NEIGHBOURS, F.lit(float("-inf"))).otherwise(F.element_at("sc", -1)).alias("least"))
-        members = fwd.union(rev).distinct().join(vectors.join(last, "v"), "v")
+        members = both.join(vectors.join(last, "v"), "v")
         found = over_runs(members, ["at"], lambda t: _all_pairs(t, ["at"], "least"), GRAPH)
-        better = materialize(_merge(graph.union(found), NEIGHBOURS), "ann-graph")
+        old = graph.withColumn("st", F.transform("st", lambda x: F.when(x == NEXT, F.lit(JOINED)).otherwise(x).cast("tinyint")))
+        better = materialize(_merge(old.union(found), NEIGHBOURS), "ann-graph")
         discard(graph)
         graph = better
+        r += 1
     return graph
 
 
 def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(v, nb, sc): for each query v of queries(v), its best k of vectors but itself found by greedy search, sc in double precision."""
+    """(v, nb, sc): for each query v of queries(v), its best k of vectors but itself found by greedy search, sc in double precision.
+
+    The walk ends when no query's pool holds a vector that has not been opened.
+    """
     total = vectors.count()
     blocks = max(1, -(-total // BLOCK))
     edges = graph.select("v", F.explode("nb").alias("u"))
@@ -130,7 +157,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
         off, flat = ask.offsets.to_numpy(), ask.values.to_numpy()
         for i in range(here, len(kind)):
             want = flat[off[i] : off[i + 1]]
-            s = base[np.searchsorted(ids, want)] @ emb[i].astype(float)
+            s = (base[np.searchsorted(ids, want)] * emb[i].astype(float)).sum(1)  # the same sum whatever else is asked: a score never changes, so a pool only gets better
             b = np.lexsort((want, -s))[:POOL]
             for y, z in zip(outs, (np.full(len(b), v[i]), want[b], s[b])):
                 y.append(z)
@@ -155,12 +182,12 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
         front = nb[~done][:OPENED]
         return pa.RecordBatch.from_arrays([tab["v"][:1].combine_chunks(), tab["x"].slice(first, 1).combine_chunks(), pa.array([nb], pa.list_(pa.int64())), pa.array([sc], pa.list_(pa.float64())), pa.array([done.tolist()], pa.list_(pa.bool_())), pa.array([front], pa.list_(pa.int64()))], ["v", "x", "nb", "sc", "opened", "front"])
 
-    for _ in range(STEPS + 1):
+    while not state.where(F.size("front") > 0).isEmpty():
         wanted = state.select("v", F.explode("front").alias("f")).join(near.withColumnRenamed("v", "f"), "f").select("v", F.explode("near").alias("n")).distinct()
         known = state.select("v", F.explode("nb").alias("n"))
         wanted = wanted.join(known, ["v", "n"], "left_anti").groupBy("v", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block")).agg(F.collect_list("n").alias("ask"))
         asked = wanted.join(state.select("v", "x"), "v").select("block", F.lit(1).alias("kind"), "v", "x", "ask")
-        found = over_units(placed.union(asked), ["block"], answer, "v long, nb array<long>, sc array<double>", ["kind"])
+        found = over_units(placed.union(asked), ["block"], answer, LISTS, ["kind"])
         rows = state.select("v", "x", F.lit(0).alias("kind"), "nb", "sc", "opened", "front").union(found.select("v", F.lit(None).cast("array<float>"), F.lit(1), "nb", "sc", F.lit(None).cast("array<boolean>"), F.lit(None).cast("array<long>")))
         after = materialize(over_units(rows, ["v"], settle, "v long, x array<float>, nb array<long>, sc array<double>, opened array<boolean>, front array<long>", ["kind"]), "ann-state")
         discard(state)

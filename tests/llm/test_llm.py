@@ -228,6 +228,27 @@ def test_graph_beside_a_row_of_large_norm(spark):
     assert sum(len(set(got[i]) & set(best[i])) for i in range(600)) >= 0.9 * best.size
 
 
+def test_walk_goes_on_until_nothing_is_unopened(spark):
+    n = 12  # a chain: every step meets one better vector
+    table = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "v long, x array<float>").withColumn("x", F.when(F.col("v") == 0, F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")).otherwise(F.col("x")))
+    graph = spark.createDataFrame([(i, [i + 1]) for i in range(n - 1)], "v long, nb array<long>")
+    got = ann.search(table, graph, table.where("v = 0").select("v"), 3).collect()
+    assert [r.nb for r in got] == [[11, 10, 9]] and got[0].sc == [11.0, 10.0, 9.0]
+
+
+def test_rounds_go_on_until_few_entries_are_new(spark, monkeypatch):
+    monkeypatch.setattr(ann, "GROUP", 16)  # a poor start
+    monkeypatch.setattr(ann, "STARTS", 2)
+    monkeypatch.setattr(ann, "SAMPLED", 5)
+    x = np.random.default_rng(8).standard_normal((3000, 12))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, : ann.NEIGHBOURS]
+    got = {r.v: r.nb for r in ann.build_graph(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<float>")).collect()}
+    assert sum(len(set(got[i]) & set(best[i])) for i in range(3000)) >= 0.7 * best.size
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((20, 32))
