@@ -76,8 +76,10 @@ def parse(rendered: str) -> list[Turn]:
     return out
 
 
-#: Whole prefixes are rendered up to this turn; later turns are rendered with WINDOW turns before them.
+#: Of an append-only template whole prefixes are rendered up to this turn; later turns are rendered with WINDOW turns before them.
 LONG, WINDOW = 64, 16
+# What a turn adds does not depend on the turns before it.
+template.append_only = True
 
 
 def _step(context: list[Turn], role: str, now: str, before: str, render, at: str) -> tuple[int, int]:
@@ -92,13 +94,16 @@ def _step(context: list[Turn], role: str, now: str, before: str, render, at: str
     return start, end
 
 
-def spans(turns: list[Turn], render: Callable[[list[Turn]], str], long: int = LONG) -> tuple[str, list[tuple[int, int, int, int]]]:
+def spans(turns: list[Turn], render: Callable[[list[Turn]], str], long: int | None = None) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The rendered conversation, and (span start, text start, text end, span end) of each turn.
 
-    RewrittenHistory where a prefix does not continue the prefix before. Rendering every prefix costs the square of the number of turns, so
-    turns beyond ``long`` are rendered with the WINDOW turns before them only, and what they add is put together; at each doubling of the length and at the end
-    that has to equal the whole prefix as rendered. Where it does not, every prefix is rendered after all.
+    RewrittenHistory where a prefix does not continue the prefix before. Every prefix of a black-box template is rendered, which costs the square of
+    the number of turns. Only where the template's ``append_only`` says that no turn changes what another renders to (or the caller gives ``long``) are turns
+    beyond ``long`` rendered with the WINDOW turns before them only, and what they add is put together; at each doubling of the length and at the end
+    that has to equal the whole prefix as rendered. Where it does not, or a window cannot be rendered, every prefix is rendered after all.
     """
+    if long is None:
+        long = LONG if getattr(render, "append_only", False) else len(turns)
     found, before = [], render([])
     for i, (role, _) in enumerate(turns[:long]):
         now = render(turns[: i + 1])
@@ -120,7 +125,7 @@ def spans(turns: list[Turn], render: Callable[[list[Turn]], str], long: int = LO
                 check *= 2
                 if "".join(parts) != render(turns[: i + 1]):
                     raise RewrittenHistory("a turn depends on more than the turns just before it")
-    except RewrittenHistory:
+    except Exception:  # the template may refuse a window
         return spans(turns, render, len(turns))
     return "".join(parts), found
 

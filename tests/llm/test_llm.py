@@ -151,6 +151,22 @@ def test_long_chats():
         chat.spans(turns, lambda t: chat.template(t[-100:]))
 
 
+def test_long_chats_of_black_box_templates():
+    turns = [("system", "s")] + [(("user", "assistant", "tool")[i % 3], f"x{i}") for i in range(150)]
+    undone = lambda t: ("!" if t and t[-1][0] == "tool" else "") + chat.template(t)  # noqa: E731  rewrites the start, undone by the next turn
+    late = lambda t: ("!" if len(t) == 100 else "") + chat.template(t)  # noqa: E731  only between the doublings
+    for render in (undone, late):
+        with pytest.raises(chat.RewrittenHistory):
+            chat.spans(turns, render)
+
+    def strict(t):
+        if t and t[0][0] != "system":
+            raise ValueError("conversations begin with a system turn")
+        return chat.template(t)
+
+    assert chat.spans(turns, strict) == chat.spans(turns, chat.template) == chat.spans(turns, strict, chat.LONG)
+
+
 def test_packing(spark):
     rows, docs = corpus(spark)
     docs = docs.union(spark.createDataFrame([(2000, "word " * 3000, "en", "s", "x", 1)], SCHEMA))
