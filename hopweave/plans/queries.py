@@ -238,6 +238,24 @@ def _seeds(spark, sf) -> DataFrame:
     return both.agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"))
 
 
+_ALL_EDGE_SQL = "e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e)"
+_ALL_SEED = "(SELECT min(o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+def _lines(spark, sf) -> DataFrame:
+    return _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _all_evidence(spark, sf) -> DataFrame:
+    """Every line of every order: an order is a page, a line its span. Line numbers repeat within an order, so edge ids hold both ends too."""
+    n = F.col("l_linenumber").cast("int")
+    return _lines(spark, sf).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "o_custkey", "l_suppkey").alias("edge_id"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.concat(F.lit("https://orders.example/"), "l_orderkey").alias("source_url"), n.alias("span_start"), (n + 1).alias("span_end"))
+
+
+def _all_seeds(spark, sf) -> DataFrame:
+    return _lines(spark, sf).agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"))
+
+
 @query("g3_edges", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey)::BIGINT AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'F' GROUP BY 1, 2")
 def g3_edges(spark, sf):
     return graph.add_edges(_evidence(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("evidence"))
@@ -267,9 +285,35 @@ def j10_meeting_points(spark, sf):
     return ta.select("node", F.col("dist").alias("da")).join(tb.select("node", F.col("dist").alias("db")), "node")
 
 
+@query("g3_all_edges", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey || '-' || l_linenumber)::BIGINT AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def g3_all_edges(spark, sf):
+    return graph.add_edges(_all_evidence(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("evidence"))
+
+
+@query("g6_all_degrees", f"WITH {_ALL_EDGE_SQL} SELECT x AS node, count(DISTINCT y)::BIGINT AS degree FROM n GROUP BY x")
+def g6_all_degrees(spark, sf):
+    return graph.neighbours(graph.add_edges(_all_evidence(spark, sf))).groupBy("node").agg(F.countDistinct("neighbour").alias("degree"))
+
+
+@query("g7_all_bfs_distances", f"WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=4)} SELECT node, min(dist)::INT AS dist FROM bfs GROUP BY node")
+def g7_all_bfs_distances(spark, sf):
+    seeds = _all_seeds(spark, sf).select(F.concat(F.lit("c"), "a").alias("node"))
+    return graph.traverse(graph.add_edges(_all_evidence(spark, sf)), seeds, 4).select("node", "dist")
+
+
+@query("j10_all_meeting_points", f"""WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=4)}, {_BFS_SQL.format(seed=_ALL_SEED.replace('min', 'max'), depth=3).replace('bfs', 'bfs2')},
+a AS (SELECT node, min(dist) AS d FROM bfs GROUP BY node), b AS (SELECT node, min(dist) AS d FROM bfs2 GROUP BY node)
+SELECT node, a.d::INT AS da, b.d::INT AS db FROM a JOIN b USING (node)""")
+def j10_all_meeting_points(spark, sf):
+    edges, s = graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf)
+    ta = graph.traverse(edges, s.select(F.concat(F.lit("c"), "a").alias("node")), 4)
+    tb = graph.traverse(edges, s.select(F.concat(F.lit("c"), "b").alias("node")), 3)
+    return ta.select("node", F.col("dist").alias("da")).join(tb.select("node", F.col("dist").alias("db")), "node")
+
+
 @query("g11_paths")
 def g11_paths(spark, sf):
-    edges, s = graph.add_edges(_evidence(spark, sf)), _seeds(spark, sf)
+    edges, s = graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf)
     ta = graph.traverse(edges, s.select(F.concat(F.lit("c"), "a").alias("node")), 4)
     tb = graph.traverse(edges, s.select(F.concat(F.lit("c"), "b").alias("node")), 3)
     return graph.meet(ta, tb)

@@ -215,3 +215,18 @@ def test_jobs_and_roster(spark, tmp_path):
     assert e.roster.contacts("acm").count() == 1
     assert e.roster.match(spark.createDataFrame([("Ada Byron",)], "name string")).first().status == "exact"
     assert e.roster.clear() == 1 and e.roster.contacts().count() == 0
+
+
+def test_searches_read_all_lines_of_all_orders(spark):
+    from hopweave.plans.queries import QUERIES, _all_evidence, _all_seeds
+
+    o, l = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").toPandas() for t in ("orders", "lineitem"))
+    both = l.merge(o, left_on="l_orderkey", right_on="o_orderkey")
+    e = _all_evidence(spark, "/root/testdata/sf0.001").toPandas()
+    assert len(e) == len(both) and set(zip(e.src, e.dst)) == {(f"c{a}", f"s{b}") for a, b in zip(both.o_custkey, both.l_suppkey)}
+    s, known = _all_seeds(spark, "/root/testdata/sf0.001").first(), {i: {a, b} for i, a, b in zip(e.edge_id, e.src, e.dst)}
+    assert (s.a, s.b) == (both.o_custkey.min(), both.o_custkey.max())
+    paths = QUERIES["g11_paths"](spark, "/root/testdata/sf0.001").collect()
+    assert paths
+    for p in paths:
+        assert (p.nodes[0], p.nodes[-1]) == (f"c{s.a}", f"c{s.b}") and all(known[i] == {x, y} for i, x, y in zip(p.edges, p.nodes, p.nodes[1:]))
