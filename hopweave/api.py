@@ -85,7 +85,7 @@ class Engine:
         """(edges, nodes) of the pages."""
         if self._graph is None:
             docs = materialize(parse.documents(self.pages), "docs")
-            ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"))).join(docs.select("page_id", "url"), "page_id")
+            ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"), most=parse.PAGE_SENTENCES)).join(docs.select("page_id", "url"), "page_id")
             ex = materialize(ex.withColumn("eid", F.xxhash64("url", "span_start", "subject_name", "object_name")), "extractions")
             none = F.create_map().cast("map<string,array<string>>")
             sides = [ex.select(F.xxhash64("eid", F.lit(s)).alias("obs_id"), F.col(f"{s}_name").alias("name"), "url", none.alias("attributes"), F.when(N.looks_canonical_for(F.col("url"), N.tokens(F.col(f"{s}_name"))), F.array("url")).otherwise(F.array().cast("array<string>")).alias("canonical_urls"), F.lit(None).cast("string").alias("provenance_name")) for s in ("subject", "object")]

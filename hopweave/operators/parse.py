@@ -82,14 +82,23 @@ def split_sentences(text: str, most: int | None = None) -> list[tuple[int, int,
     return out
 
 
-@F.pandas_udf(_SENTENCES)
-def segment(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("index", "start", "end", "text"), s)) for s in split_sentences(t or "", 400)])
+#: Sentences of a fetched page that are read, the reference's max_sentences_per_page.
+PAGE_SENTENCES = 400
 
 
-def sentences(pages: DataFrame, text: str = "text", key: str = "page_id") -> DataFrame:
-    """(key, idx, start, end, text) of each page's sentences, 400 at most."""
-    return pages.select(key, F.explode(segment(F.col(text))).alias("s")).select(key, F.col("s.index").alias("idx"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+def segment(text: Column, most: int | None = None) -> Column:
+    """The sentences of a text, all of them or the first ``most``."""
+
+    @F.pandas_udf(_SENTENCES)
+    def cut(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [dict(zip(("index", "start", "end", "text"), s)) for s in split_sentences(x or "", most)])
+
+    return cut(text)
+
+
+def sentences(pages: DataFrame, text: str = "text", key: str = "page_id", most: int | None = None) -> DataFrame:
+    """(key, idx, start, end, text) of each page's sentences; pages that were fetched have ``most`` of PAGE_SENTENCES."""
+    return pages.select(key, F.explode(segment(F.col(text), most)).alias("s")).select(key, F.col("s.index").alias("idx"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
 
 
 def context_windows(rows: DataFrame, key: str, order: str, text: str, size: int = 3) -> DataFrame:

@@ -29,7 +29,7 @@ def import_pairs(pairs: DataFrame, pages: DataFrame, existing: DataFrame | None
     """(relations to append, pairs with confirmed) from pages(page_id, url, html): each cited page is parsed once and read without a model."""
     cited = pages.join(pairs.select(F.col("source_url").alias("url")).distinct(), "url", "left_semi").select("page_id", "url", "html")
     docs = parse.documents(cited)
-    ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"))).join(docs.select("page_id", F.col("url").alias("source_url")), "page_id")
+    ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"), most=parse.PAGE_SENTENCES)).join(docs.select("page_id", F.col("url").alias("source_url")), "page_id")
     new = ex.dropDuplicates(tables.UNIQUE)
     return (new if existing is None else new.join(existing.select(*tables.UNIQUE), tables.UNIQUE, "left_anti")), tables.confirm_pairs(pairs, ex)
 

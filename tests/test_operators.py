@@ -101,3 +101,10 @@ def test_retention(spark):
     jobs = jobs.withColumn("updated_at", F.timestamp_seconds(F.unix_timestamp(now) - F.col("age")))
     assert {r.job_id for r in expired(jobs, now, 60).collect()} == {1, 4}
     assert sweep_seconds(6 * 3600) == 300 and sweep_seconds(10) == 1
+
+
+def test_long_documents_keep_all_sentences(spark):
+    text = " ".join(f"Sentence number {i} ends here." for i in range(900))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert parse.sentences(d, key="doc_id").count() == 900
+    assert parse.sentences(d, key="doc_id", most=parse.PAGE_SENTENCES).count() == 400
