@@ -3,7 +3,7 @@
 Vectors are compared on the unit sphere. A pair with cosine at least t is at most
 ``r = sqrt(2 - 2t)`` apart, so along a Gaussian direction its coordinates differ by
 a normal variable of deviation r at most. Many one-dimensional projections are
-cut into ranges of their sorted values (the distributed form of a sort) and
+cut at fixed steps with a random shift (a grid; nothing is sorted) and
 taken in groups of g; two vectors meet where all g ranges of a group agree. The number
 of groups follows from g so that a pair at the limit meets with ``1 - MISS``. Of vectors that meet, collisions in
 windows centred on each of the two are counted over COUNTED projections, pairs
