@@ -97,6 +97,18 @@ def j5_replayed_relations(spark, sf):
     return search.replay(rel, people, as_of).select("side", "name", "provenance_name")
 
 
+@query("j5_all_replayed_relations", """WITH r AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+SELECT side, CASE side WHEN 'subject' THEN 'Customer ' || c ELSE 'Clerk ' || p END AS name, 'Customer ' || c AS provenance_name FROM r CROSS JOIN (VALUES ('subject'), ('object')) v(side)""")
+def j5_all_replayed_relations(spark, sf):
+    o = _t(spark, sf, "orders")
+    subject, obj = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.concat(F.lit("Clerk "), "o_orderpriority")
+    span = F.concat_ws(" ", subject, F.lit("met"), obj)
+    rel = o.select(subject.alias("subject_name"), obj.alias("object_name"), F.lit("u").alias("source_url"), span.alias("span_text"), F.lit(0).alias("span_start"), F.length(span).alias("span_end"), N.name_key(N.tokens(subject)).alias("subject_key"), N.name_key(N.tokens(obj)).alias("object_key"), F.col("o_orderdate").cast("timestamp").alias("cached_at"))
+    people = _t(spark, sf, "customer").select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"))
+    as_of = F.lit("1998-01-31").cast("timestamp")
+    return search.replay(rel, people, as_of).select("side", "name", "provenance_name")
+
+
 @query("e4_recorded_answers", "SELECT conv_id::BIGINT AS page_id, count(*)::BIGINT AS extractions FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING conv_id % 3 <> 0")
 def e4_recorded_answers(spark, sf):
     c = _t(spark, sf, "conversations").where("text is not null").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("role").alias("subject_name"), F.lit("x").alias("object_name"), F.col("turn").cast("int").alias("sentence_index"), F.lit("s").alias("span_text"))).alias("extractions"))

@@ -78,6 +78,28 @@ def j1_j2_roster_match(spark, sf):
     return tables.match_names(p.where("id in (2, 3, 6, 10, 14)").select("name"), contacts)
 
 
+def _all_names(spark, sf) -> DataFrame:
+    """The names of customers (c1), suppliers (s1) and, for their special cases, PEOPLE (p1)."""
+    of = lambda t, k, n, x: _t(spark, sf, t).select(F.concat(F.lit(x), k).alias("id"), F.col(n).alias("name"))
+    people = spark.createDataFrame(PEOPLE, "id long, name string").select(F.concat(F.lit("p"), "id").alias("id"), "name")
+    return of("customer", "c_custkey", "c_name", "c").union(of("supplier", "s_suppkey", "s_name", "s")).union(people).withColumn("tok", N.tokens(F.col("name")))
+
+
+@query("p8_all_same_name_pairs")
+def p8_all_same_name_pairs(spark, sf):
+    p = _all_names(spark, sf).withColumn("s", N.surname(F.col("tok")))
+    r = p.select(F.col("id").alias("right_id"), F.col("tok").alias("tok2"), "s")
+    return p.join(r, "s").where("id < right_id").where(N.could_be_same_name(F.col("tok"), F.col("tok2"))).select(F.col("id").alias("left_id"), "right_id")
+
+
+@query("j1_j2_all_roster_match")
+def j1_j2_all_roster_match(spark, sf):
+    """All customers, suppliers and people against a roster of the customers and five people."""
+    p = _all_names(spark, sf)
+    contacts = p.where("id like 'c%' or id in ('p1', 'p4', 'p5', 'p7', 'p10')").select("name", N.normalize_name(F.col("tok")).alias("norm_name"))
+    return tables.match_names(p.select("name"), contacts)
+
+
 @query("f14_canonical_urls")
 def f14_canonical_urls(spark, sf):
     urls = ["https://priyaraman.com/about", "https://acme.org/people/priya-raman", "https://example.com/p-raman", "https://acme.org/team"]

@@ -230,3 +230,22 @@ def test_searches_read_all_lines_of_all_orders(spark):
     assert paths
     for p in paths:
         assert (p.nodes[0], p.nodes[-1]) == (f"c{s.a}", f"c{s.b}") and all(known[i] == {x, y} for i, x, y in zip(p.edges, p.nodes, p.nodes[1:]))
+
+
+def test_replay_for_all_customers(spark):
+    from hopweave.plans.queries import QUERIES
+
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderdate >= '1998-01-01'").select("o_custkey").distinct().toPandas().o_custkey
+    got = QUERIES["j5_all_replayed_relations"](spark, "/root/testdata/sf0.001").toPandas()
+    assert set(got.provenance_name) == {f"Customer {c}" for c in o}
+
+
+def test_names_of_whole_tables(spark):
+    from hopweave.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    c, s = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("customer", "supplier"))
+    got = QUERIES["j1_j2_all_roster_match"](spark, sf).toPandas().set_index("name").status
+    assert set(c.c_name) | set(s.s_name) <= set(got.index) and (got[list(set(c.c_name))] == "exact").all()
+    pairs = lambda name: {tuple(sorted(map(str, r))) for r in QUERIES[name](spark, sf).collect()}
+    assert {tuple(sorted((f"p{a}", f"p{b}"))) for a, b in pairs("p8_same_name_pairs")} <= pairs("p8_all_same_name_pairs")
