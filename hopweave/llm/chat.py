@@ -9,6 +9,7 @@ texts agree exactly up to where a text begins.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -41,20 +42,21 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+@functools.lru_cache(maxsize=1 << 16)  # emptied after each conversation
+def _turn(role: str, text: str) -> str:
+    t = escape(text)
+    if role == "user":
+        return f"<s>[INST] {t} [/INST]"
+    if role == "assistant":
+        return f"<assistant>{t}</s>"
+    if role == "system":
+        return f"<system>{t}</s>"
+    return f"<role>{escape(role)}</role>{t}</s>"
+
+
 def template(turns: list[Turn]) -> str:
     """The default template. user, assistant and system have marks of their own; any other role is spelled out."""
-    out = []
-    for role, text in turns:
-        t = escape(text)
-        if role == "user":
-            out.append(f"<s>[INST] {t} [/INST]")
-        elif role == "assistant":
-            out.append(f"<assistant>{t}</s>")
-        elif role == "system":
-            out.append(f"<system>{t}</s>")
-        else:
-            out.append(f"<role>{escape(role)}</role>{t}</s>")
-    return "".join(out)
+    return "".join([_turn(role, text) for role, text in turns])
 
 
 def parse(rendered: str) -> list[Turn]:
@@ -76,65 +78,38 @@ def parse(rendered: str) -> list[Turn]:
     return out
 
 
-#: Of an append-only template whole prefixes are rendered up to this turn; later turns are rendered with WINDOW turns before them.
-LONG, WINDOW = 64, 16
-# What a turn adds does not depend on the turns before it.
-template.append_only = True
-
-
 def _step(context: list[Turn], role: str, now: str, before: str, render, at: str) -> tuple[int, int]:
     """Where the text of the turn after context begins and ends in now."""
     probes = [render([*context, (role, x)]) for x in ("", "a", "b")]
     if not all(x.startswith(before) for x in (now, *probes)):
         raise RewrittenHistory(f"{at} changes what is before it")
-    start = len(os.path.commonprefix(probes[1:]))
+    start = len(before) + len(os.path.commonprefix([x[len(before) :] for x in probes[1:]]))
     end = start + len(now) - len(probes[0])
     if not (len(before) <= start <= end <= len(now)) or now[:start] != probes[1][:start] or now[end:] != probes[0][start:]:
         raise RewrittenHistory(f"{at} has no single text span")
     return start, end
 
 
-def spans(turns: list[Turn], render: Callable[[list[Turn]], str], long: int | None = None) -> tuple[str, list[tuple[int, int, int, int]]]:
+def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The rendered conversation, and (span start, text start, text end, span end) of each turn.
 
-    RewrittenHistory where a prefix does not continue the prefix before. Every prefix of a black-box template is rendered, which costs the square of
-    the number of turns. Only where the template's ``append_only`` says that no turn changes what another renders to (or the caller gives ``long``) are turns
-    beyond ``long`` rendered with the WINDOW turns before them only, and what they add is put together; at each doubling of the length and at the end
-    that has to equal the whole prefix as rendered. Where it does not, or a window cannot be rendered, every prefix is rendered after all.
+    Every prefix is rendered, whatever the number of turns, so RewrittenHistory names the first turn whose prefix does not continue the one before. What a
+    prefix costs is the template's affair; the default one keeps what its turns rendered to, so that a prefix is one joining of strings.
     """
-    if long is None:
-        long = LONG if getattr(render, "append_only", False) else len(turns)
     found, before = [], render([])
-    for i, (role, _) in enumerate(turns[:long]):
+    for i, (role, _) in enumerate(turns):
         now = render(turns[: i + 1])
         start, end = _step(turns[:i], role, now, before, render, f"turn {i}")
         found.append((len(before), start, end, len(now)))
         before = now
-    if len(turns) <= long:
-        return before, found
-    parts, size, check = [before], len(before), 2 * long
-    try:
-        for i in range(long, len(turns)):
-            context = turns[i - WINDOW : i] if long >= WINDOW else turns[:i]
-            old, now = render(context), render([*context, turns[i]])
-            start, end = _step(context, turns[i][0], now, old, render, f"turn {i}")
-            found.append((size, size + start - len(old), size + end - len(old), size + len(now) - len(old)))
-            parts.append(now[len(old) :])
-            size = found[-1][3]
-            if i + 1 in (check, len(turns)):
-                check *= 2
-                if "".join(parts) != render(turns[: i + 1]):
-                    raise RewrittenHistory("a turn depends on more than the turns just before it")
-    except Exception:  # the template may refuse a window
-        return spans(turns, render, len(turns))
-    return "".join(parts), found
+    return before, found
 
 
 def format_conversations(rows: DataFrame, render: Callable[[list[Turn]], str] = template) -> DataFrame:
     """(conv_id, formatted, spans, loss_spans, rewrites) of rows(conv_id, turn, role, text).
 
     Turns are ordered by turn, then role and text (nulls first); null role and text count as empty; rows with a null
-    conv_id are one conversation. loss_spans are the text spans of assistant turns, in code points. rewrites is true,
+    conv_id are one conversation; rows that repeat a turn are turns of their own; other columns are ignored. loss_spans are the text spans of assistant turns, in code points. rewrites is true,
     and there are no spans, where the template rewrites history. An empty table gives no rows.
     """
 
@@ -144,6 +119,8 @@ def format_conversations(rows: DataFrame, render: Callable[[list[Turn]], str] =
             text, found, bad = *spans(turns, render), False
         except RewrittenHistory:
             text, found, bad = render(turns), [], True
+        finally:
+            _turn.cache_clear()
         pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         full = [{"start": s, "end": e} for s, _, _, e in found]
         loss = [{"start": s, "end": e} for (role, _), (_, s, e, _) in zip(turns, found) if role == "assistant"]
@@ -174,6 +151,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation -1 is added by the contract; rows that the table itself has under -1 are turns of the same conversation."""
     ok = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
