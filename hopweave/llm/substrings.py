@@ -2,16 +2,18 @@
 
 A byte goes when some ``LENGTH``-byte string over it also starts earlier in the corpus. Every
 such string contains the smallest hashed ``GRAM``-byte gram of its own, so only suffixes at these
-anchors are looked at (about one in 35 bytes), and only where two anchors share their gram.
-
-1. Within a document, surroundings of an anchor seen before are covered at once. Other anchors with a gram in common meet. Where their whole surroundings (all ``LENGTH``-byte strings over the gram)
-   hash alike, every one but the first is covered and done.
-2. The first of each of several different surroundings are compared by bytes: the suffixes right of the anchor and the reversed
-   prefixes left of it are sorted, each by a merge sort whose comparisons find the common extension by binary
-   search over prefix polynomial hashes (logarithmic in the length). Sorted neighbours are then checked by bytes, so a
-   collision of hashes cannot change an order unseen. Common extensions of neighbours give, for each
+anchors are sorted (about one in 35 bytes), and only where two anchors share their gram.
+
+1. Equal surroundings of anchors (all ``LENGTH``-byte strings over the gram) are one entry of the sort: the first of them goes on, the others
+   are covered. Equality is that of 128-bit BLAKE2b digests of the bytes, not of the polynomial hashes. Copies are joined in the task
+   that reads them first, so that what is shuffled for a frequent gram is about one row a task.
+2. Different surroundings of one gram: the suffixes right of the anchor and the reversed prefixes left of it are sorted, each by a merge sort whose
+   comparisons find the common extension by binary search over prefix polynomial hashes (logarithmic in the length). Sorted neighbours are then
+   checked by bytes, so a collision of hashes cannot change an order unseen. Common extensions of neighbours give, for each
    offset of a string over the gram, the classes of equal strings, of which all but the first are covered.
-3. Grams with more different surroundings than ``MANY`` (a frequent line) are settled by the strings' hashes, counted with map-side combining.
+3. A gram with more different surroundings than a worker sorts at once (``UNIT``) is split by offsets: each half of them has a longer string that all its
+   strings share, which deals the rows anew, and narrower surroundings, of which equal ones are again one entry. The parts are sorted as in 2, or
+   split again; at a single offset the shared string is the whole one, so the splitting ends.
 
 Covered spans are united per document at last.
 """
@@ -29,7 +31,11 @@ from hopweave.llm._bytes import U64, batch_rows, binary, mix, powers, prefix_has
 from hopweave.llm._units import bounds, over_runs
 from hopweave.storage import discard, materialize
 
-LENGTH, GRAM, MANY = 100, 32, 16384
+LENGTH, GRAM = 100, 32
+#: Different surroundings that are sorted in one piece; it bounds memory and changes no result.
+UNIT = 16384
+#: Anchors of texts in hand among which copies are joined before the shuffle.
+JOINED = 400_000
 REACH = LENGTH - GRAM  # the strings over a gram start up to this far left of it
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -44,10 +50,10 @@ def _slide(a: np.ndarray, w: int, op, pad) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
-    """Of whole texts: anchor positions, their rows, gram hashes, surroundings' hashes and the bytes known left and right."""
+    """Of whole texts: anchor positions, their rows, gram hashes and the bytes known left and right."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     h = prefix_hash(data)
     end = np.repeat(offsets[1:], np.diff(offsets))
     at = np.arange(n - GRAM + 1)
@@ -61,53 +67,166 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     i = np.flatnonzero((most == g) & (g != _NEVER))
     row = np.searchsorted(offsets, i, "right") - 1
     left, right = np.minimum(i - offsets[row], REACH), np.minimum(offsets[row + 1] - i, LENGTH)
-    around = mix(span_hash(h, i - left, i + right) + (left * 128 + right).astype(U64))
-    return i, row, g[i], around, left, right
+    return i, row, g[i], left, right
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the BLAKE2b digest of each data[start:end], left bytes of which are left of the anchor."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    marks = [bytes([k]) for k in range(REACH + 1)]
+    out = b"".join([blake(raw[s:e], digest_size=16, salt=marks[k]).digest() for s, e, k in zip(start.tolist(), end.tolist(), left.tolist())])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+def _united(doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans united per document."""
+    o = np.lexsort((x, doc))
+    doc, x, y = doc[o], x[o], y[o]
+    if not len(o):
+        return doc, x, y
+    b = bounds(doc)
+    lift = np.repeat(np.arange(len(b) - 1), np.diff(b)) * (int(y.max()) + 1)  # one running maximum for all documents
+    top = np.maximum.accumulate(y + lift) - lift
+    new = np.r_[True, (x[1:] > top[:-1]) | (doc[1:] != doc[:-1])]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]
+    return doc[new], x[new], top[last]
+
+
+ANCHORS = "h long, c1 long, c2 long, id long, at long"
+ENTRIES = "kind long, h long, id long, x long, y long, left long, right long, lo long, hi long, bytes binary"
+NAMES = [c.split()[0] for c in ENTRIES.split(", ")]
+SPAN, SORTED, SPLIT = 0, 1, 2
+
+
+def _rows(kind, h, doc, x, y=None, left=None, right=None, lo=None, hi=None, text=None) -> pa.RecordBatch:
+    """ENTRIES: a covered span x..y of a row, or the place x of an entry of the sort with the bytes around it, whose strings start lo to hi bytes left of it."""
+    n = len(doc)
+    longs = [pa.array(np.full(n, kind, np.int64) if np.isscalar(kind) else kind), *(pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64()) for v in (h, doc, x, y, left, right, lo, hi))]
+    return pa.RecordBatch.from_arrays([*longs, pa.nulls(n, pa.binary()) if text is None else text], NAMES)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before; the first does."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(columns[0]) else np.zeros(0, bool)
 
 
 def _emit_anchors(batches):
-    """Anchors (h, c, id, at); and what repeats surroundings of its own document, as rows of spans: at is -1 - start, c the end."""
+    """ANCHORS with the digest of their surroundings; spans of what repeats surroundings seen in the same task have at = -1 - start and c1 the end."""
+
+    def joined(held):
+        h, c1, c2, doc, at = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((at, doc, c2, c1, h))
+        h, c1, c2, doc, at = (x[o] for x in (h, c1, c2, doc, at))
+        first = _changes(h, c1, c2)
+        pos, right = at >> 7, at & 127
+        left = np.minimum(pos, REACH)
+        late = ~first & (left + right >= LENGTH)
+        d, x, y = _united(doc[late], (pos - left)[late], (pos + right)[late])
+        parts = ((h[first], mix(d.view(U64)).view(np.int64)), (c1[first], y), (c2[first], np.zeros(len(d), np.int64)), (doc[first], d), (at[first], -1 - x))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["h", "c1", "c2", "id", "at"])
+
+    held, size = [], 0
     for batch in batches:
         ids = batch["id"].to_numpy()
         for a, _, data, offsets in slices(batch["text"]):
-            i, row, g, c, left, right = anchors(data, offsets)
-            if not len(i):
-                continue
-            pos = i - offsets[row]
-            _, first = np.unique(mix(g * U64(0xD1342543DE82EF95) + c) + row.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)
-            late = np.ones(len(i), bool)
-            late[first] = False
-            late = np.flatnonzero(late & (left + right >= LENGTH))
-            rows = [g[first].view(np.int64), c[first].view(np.int64), ids[a + row[first]], pos[first] << 7 | right[first]]
-            if len(late):  # a period repeated over and over: a few long spans
-                x, y, r = (i - left)[late], np.maximum.accumulate((i + right)[late]), row[late]
-                new = np.r_[True, (x[1:] > y[:-1]) | (r[1:] != r[:-1])]
-                last = np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]
-                x, y, r = x[new], y[last], r[new]
-                own = ids[a + r]
-                rows = [np.r_[u, v] for u, v in zip(rows, (mix(own.view(U64)).view(np.int64), y - offsets[r], own, -1 - (x - offsets[r])))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "c", "id", "at"])
-
-
-def _meet(t: pa.Table) -> pa.RecordBatch | None:
-    """Anchors sorted by gram, surroundings, place: covered spans (kind 0) and places still to compare (kind 1, or 2 where there are many)."""
-    h, c, doc, at = (t[x].to_numpy() for x in ("h", "c", "id", "at"))
-    span = at < 0
-    sx, sy, sid = -1 - at[span], c[span], doc[span]
-    h, c, doc, at = h[~span], c[~span], doc[~span], at[~span]
-    if len(h):
+            i, row, g, left, right = anchors(data, offsets)
+            if len(i):
+                c = digests(data, i - left, i + right, left)
+                held.append((g.view(np.int64), c[:, 0], c[:, 1], ids[a + row], (i - offsets[row]) << 7 | right))
+                size += len(i)
+            if size > JOINED:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def _unpacked(batches):
+    """ANCHORS as (ENTRIES without bytes, their digests)."""
+    for batch in batches:
+        h, c1, c2, doc, at = (batch[x].to_numpy() for x in ("h", "c1", "c2", "id", "at"))
+        span = at < 0
         pos, right = at >> 7, at & 127
-        first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-        b = bounds(h)
-        kinds = np.repeat(np.add.reduceat(first.astype(np.int64), b[:-1]), np.diff(b))
-        left = np.minimum(pos, REACH)
-        done = np.flatnonzero(~first & (left + right >= LENGTH))
-        need = np.flatnonzero(first & (kinds > 1))
-        kind = np.r_[np.zeros(len(sx) + len(done), np.int64), np.where(kinds[need] > MANY, 2, 1)]
-        sid, sx, sy = np.r_[sid, doc[done], doc[need]], np.r_[sx, (pos - left)[done], pos[need]], np.r_[sy, (pos + right)[done], h[need]]
-    else:
-        kind = np.zeros(len(sx), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(sid), pa.array(sx), pa.array(sy)], ["kind", "id", "x", "y"]) if len(kind) else None
+        rows = _rows(np.where(span, SPAN, SORTED), h, doc, np.where(span, -1 - at, pos), np.where(span, c1, 0), np.minimum(pos, REACH), right, np.zeros(len(h), np.int64), np.full(len(h), REACH))
+        yield rows, c1, c2
+
+
+def _with_digests(batches):
+    for batch in batches:
+        yield batch.select(NAMES), batch["c1"].to_numpy(), batch["c2"].to_numpy()
+
+
+def _meet(batches):
+    """Of ENTRIES sorted by gram, digest, place: spans of those with equal bytes around, but the first, and the first ones of grams with several: SORTED, or SPLIT where there are too many.
+
+    Rows stream through; only a gram's first ones wait, until the gram ends or they are too many.
+    """
+    last, many = None, None  # gram and digest of the row before; the gram whose entries no longer wait
+    wait: list[pa.RecordBatch] = []
+    held = 0
+
+    def flush(going):
+        """Entries of whole grams, and of those known to have too many; what the going gram has waits on."""
+        nonlocal wait, held, many
+        t = pa.Table.from_batches(wait).combine_chunks()
+        h = t["h"].to_numpy()
+        size = np.repeat(np.diff(bounds(h)), np.diff(bounds(h)))
+        if going is not None and (h == going).sum() > UNIT:
+            many = going
+        open_ = (h == going) & (h != many) if going is not None else np.zeros(len(h), bool)
+        use = ~open_ & ((size > 1) | (h == many))
+        out = t.set_column(0, "kind", pa.array(np.where((size > UNIT) | (h == many), SPLIT, SORTED))).filter(pa.array(use))
+        wait = t.filter(pa.array(open_)).to_batches()
+        held = int(open_.sum())
+        return out.to_batches()
+
+    for batch, c1, c2 in batches:
+        real = batch["kind"].to_numpy() != SPAN
+        if not real.all():
+            yield batch.filter(pa.array(~real))
+            batch, c1, c2 = batch.filter(pa.array(real)), c1[real], c2[real]
+        if not batch.num_rows:
+            continue
+        h, doc, pos, left, right = (batch[c].to_numpy() for c in ("h", "id", "x", "left", "right"))
+        first = _changes(h, c1, c2)
+        first[0] = last != (h[0], c1[0], c2[0])
+        last = h[-1], c1[-1], c2[-1]
+        late = ~first & (left + right >= LENGTH)
+        if late.any():
+            d, x, y = _united(doc[late], (pos - left)[late], (pos + right)[late])
+            yield _rows(SPAN, np.zeros(len(d), np.int64), d, x, y)
+        wait.append(batch.filter(pa.array(first)))
+        held += int(first.sum())
+        if h[0] != h[-1] or held > UNIT:
+            yield from flush(h[-1])
+    if held:
+        yield from flush(None)
+
+
+def _halves(batches):
+    """Each entry of a gram with too many, once for each half of its offsets: dealt by the bytes that all strings of the half share, with the bytes that any of them has."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(11)]
+        for doc, pos, left, right, lo, hi, s in zip(*(batch[c].to_pylist() for c in ("id", "x", "left", "right", "lo", "hi", "bytes"))):
+            mid = (lo + hi) // 2
+            for a, b in ((lo, mid), (mid + 1, hi)):
+                if left < a or right < LENGTH - b or left + right < LENGTH:
+                    continue
+                wl, wr = min(left, b), min(right, LENGTH - a)
+                shared = hashlib.blake2b(s[left - a : left + LENGTH - b], digest_size=8, salt=bytes([a, b])).digest()
+                window = s[left - wl : left + wr]
+                c = hashlib.blake2b(window, digest_size=16, salt=bytes([wl])).digest()
+                for x, v in zip(out, (int.from_bytes(shared, "little", signed=True), doc, pos, wl, wr, a, b, window, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True))):
+                    x.append(v)
+        h, doc, pos, left, right, lo, hi, c1, c2 = (np.array(x, np.int64) for x in (*out[:7], *out[8:10]))
+        o = np.lexsort((pos, doc, c2, c1, h))
+        late = np.zeros(len(o), bool)
+        late[o] = ~_changes(h[o], c1[o], c2[o])
+        d, x, y = _united(doc[late], (pos - left)[late], (pos + right)[late])
+        rows = _rows(SORTED, h, doc, pos, None, left, right, lo, hi, pa.array(out[7], pa.binary())).filter(pa.array(~late))
+        spans = _rows(SPAN, mix(d.view(U64)).view(np.int64), d, x, y)
+        for t, a, b in ((rows, c1[~late], c2[~late]), (spans, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64))):
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(a), pa.array(b)], [*NAMES, "c1", "c2"])
 
 
 def suffix_order(unit: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -189,8 +308,8 @@ def _around(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _compare(t: pa.Table) -> pa.RecordBatch | None:
-    """Surroundings sorted by gram and place: covered spans."""
-    unit, doc, pos = (t[x].to_numpy() for x in ("h", "id", "pos"))
+    """Entries sorted by gram and place: covered spans."""
+    unit, doc, pos, lo, hi = (t[x].to_numpy() for x in ("h", "id", "x", "lo", "hi"))
     n = len(unit)
     a, la, r, lr = _around(t)
     oa, ea = extensions(unit, suffix_order(unit, a, la), a, la)
@@ -198,7 +317,7 @@ def _compare(t: pa.Table) -> pa.RecordBatch | None:
     ca, cr = np.zeros(n, np.int64), np.zeros(n, np.int64)
     hit = np.zeros((n, REACH + 3), bool)
     for d in range(REACH + 1):
-        ok = np.flatnonzero((la >= d) & (lr >= LENGTH - d))
+        ok = np.flatnonzero((la >= d) & (lr >= LENGTH - d) & (lo <= d) & (d <= hi))
         if len(ok) < 2:
             continue
         ca[oa] = np.cumsum(ea < d)
@@ -217,36 +336,18 @@ def _compare(t: pa.Table) -> pa.RecordBatch | None:
 
 
 def _surroundings(batches):
+    """The bytes around the places of each document, as ENTRIES."""
     for batch in batches:
-        text = binary(batch["text"])
-        out: list[list] = [[] for _ in range(7)]
-        held = 0
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        names = ["kind", "h", "id", "pos", "left", "right", "bytes"]
-        for doc, s, places in zip(batch["id"].to_pylist(), text, batch["places"].to_pylist()):
-            s = s.as_buffer().to_pybytes()
-            for p in places:
-                left, right = min(p["x"], REACH), min(len(s) - p["x"], LENGTH)
-                for c, v in zip(out, (p["kind"], p["y"], doc, p["x"], left, right, s[p["x"] - left : p["x"] + right])):
-                    c.append(v)
-            held += len(places)
-            if held > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                out, held = [[] for _ in range(7)], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-
-def _strings(batches):
-    """The hash and the start of every string over a gram."""
-    for batch in batches:
-        data = np.frombuffer(b"".join(batch["bytes"].to_pylist()), np.uint8)
-        left, right, pos, doc = (batch[x].to_numpy() for x in ("left", "right", "pos", "id"))
-        off = np.cumsum(left + right) - left - right
-        h = prefix_hash(data)
-        i = np.repeat(np.arange(len(off)), np.maximum(left + right - LENGTH + 1, 0))
-        s = np.arange(len(i)) - np.searchsorted(i, i)
-        yield pa.RecordBatch.from_arrays([pa.array(span_hash(h, off[i] + s, off[i] + s + LENGTH).view(np.int64)), pa.array(doc[i]), pa.array(pos[i] - left[i] + s)], ["w", "id", "p"])
+        text, places = binary(batch["text"]), batch["places"]
+        docs = batch["id"].to_numpy()
+        for k in range(batch.num_rows):
+            s = text[k].as_buffer().to_pybytes()
+            own = places[k].values
+            for a in range(0, len(own), 20_000):
+                kind, pos, h = (own.field(c).to_numpy()[a : a + 20_000] for c in range(3))
+                left, right = np.minimum(pos, REACH), np.minimum(len(s) - pos, LENGTH)
+                around = pa.array([s[x:y] for x, y in zip((pos - left).tolist(), (pos + right).tolist())], pa.binary())
+                yield _rows(kind, h, np.full(len(pos), docs[k]), pos, None, left, right, np.zeros(len(pos), np.int64), np.full(len(pos), REACH), around)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -259,23 +360,34 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", "extra"), "sub-docs")
 
 
+def _met(rows: DataFrame, place: str, read) -> DataFrame:
+    """rows dealt by gram and run through _meet, stored."""
+    order = ["h", "c1", "c2", "id", place]
+    return materialize(rows.repartition("h").sortWithinPartitions(*order).mapInArrow(trimmed(lambda batches: _meet(read(batches))), ENTRIES), "sub-met")
+
+
 def covered_spans(docs: DataFrame) -> DataFrame:
     """(id, x, y) spans, overlapping as they come, whose union per row of docs(id, text) is what repeats something earlier."""
     own = docs.select("id", "text")
-    met = materialize(over_runs(own.mapInArrow(trimmed(_emit_anchors), "h long, c long, id long, at long"), ["h"], _meet, "kind long, id long, x long, y long", ["c", "id", "at"]), "sub-met")
-    places = met.where("kind > 0").groupBy("id").agg(F.collect_list(F.struct("kind", "x", "y")).alias("places"))
-    rows = own.join(places, "id").mapInArrow(trimmed(_surroundings), "kind long, h long, id long, pos long, left long, right long, bytes binary")
-    many = not met.where("kind = 2").isEmpty()
-    if many:
+    met = _met(own.mapInArrow(trimmed(_emit_anchors), ANCHORS), "at", _unpacked)
+    places = met.where(F.col("kind") != SPAN).groupBy("id").agg(F.collect_list(F.struct("kind", "x", "h")).alias("places"))
+    rows = own.join(places, "id").mapInArrow(trimmed(_surroundings), ENTRIES)
+    split = not met.where(F.col("kind") == SPLIT).isEmpty()
+    if split:
         rows = materialize(rows, "sub-around")
-    compared = over_runs(rows.where("kind = 1"), ["h"], _compare, "id long, x long, y long", ["id", "pos"])
-    spans = met.where("kind = 0").select("id", "x", "y").union(compared)
-    if many:
-        strings = materialize(rows.where("kind = 2").mapInArrow(trimmed(_strings), "w long, id long, p long"), "sub-strings")
-        first = strings.groupBy("w").agg(F.min(F.struct("id", "p")).alias("f"), F.count("*").alias("k")).where("k > 1").select("w", "f")
-        late = strings.join(materialize(first, "sub-first"), "w").where(F.struct("id", "p") > F.col("f"))
-        spans = spans.union(late.select("id", F.col("p").alias("x"), (F.col("p") + LENGTH).alias("y")))
-    return spans
+    spans, order = [met], ["id", "x"]
+    compared = [over_runs(rows.where(F.col("kind") == SORTED), ["h"], _compare, "id long, x long, y long", order)]
+    while split:
+        rows = _met(rows.where(F.col("kind") == SPLIT).mapInArrow(trimmed(_halves), f"{ENTRIES}, c1 long, c2 long"), "x", _with_digests)
+        spans.append(rows)
+        compared.append(over_runs(rows.where(F.col("kind") == SORTED), ["h"], _compare, "id long, x long, y long", order))
+        split = not rows.where(F.col("kind") == SPLIT).isEmpty()
+    out = compared[0]
+    for t in compared[1:]:
+        out = out.union(t)
+    for t in spans:
+        out = out.union(t.where(F.col("kind") == SPAN).select("id", "x", "y"))
+    return out
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,17 +67,53 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("many", [16384, 3])
-def test_substrings(spark, many, monkeypatch):
-    monkeypatch.setattr(substrings, "MANY", many)
-    rows, docs = corpus(spark)
-    rows = [(r[0], r[1]) for r in rows]
+def _same_as_brute(rows, docs):
     got = [(r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in substrings.dedup_substrings(docs).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(brute_substrings(rows), key=key)
+
+
+@pytest.mark.parametrize("unit", [16384, 3])
+def test_substrings(spark, unit, monkeypatch):
+    monkeypatch.setattr(substrings, "UNIT", unit)
+    rows, docs = corpus(spark)
+    _same_as_brute([(r[0], r[1]) for r in rows], docs)
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", [16384, 500])
+def test_substrings_with_a_line_in_very_many_surroundings(spark, unit, monkeypatch):
+    monkeypatch.setattr(substrings, "UNIT", unit)
+    monkeypatch.setattr(substrings, "JOINED", 10)
+    rnd = random.Random(9)
+    line = "All rights reserved; this line stands in very many documents, each time between other words, and is long enough to go."
+    rows = [(i, f"{rnd.random()} {rnd.random()} {line}{rnd.random()} {rnd.random()}" if i % 7 else f"{i % 70} {line} {line[:90]} {i % 21}") for i in range(4000)]
+    _same_as_brute(rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+
+
+def test_substrings_whose_hashes_collide(spark, monkeypatch):
+    rows, docs = corpus(spark, n=30)
+    monkeypatch.setattr(substrings, "mix", lambda x: x)
+    monkeypatch.setattr(substrings, "span_hash", lambda h, start, end: (h[end] - h[start]) & np.uint64(7))
+    monkeypatch.setattr(substrings, "prefix_hash", lambda data: np.r_[np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64))])
+    docs = [(i, r[1]) for i, r in enumerate(rows)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([d[0] for d in docs]), "text": pa.array([d[1] for d in docs])})
+    anchors = pa.Table.from_batches(list(substrings._emit_anchors([batch]))).sort_by([(c, "ascending") for c in ("h", "c1", "c2", "id", "at")])
+    met = pa.Table.from_batches(list(substrings._meet(substrings._unpacked(anchors.to_batches()))))
+    spans = [r for r in met.to_pylist() if r["kind"] == substrings.SPAN]
+    entries = met.filter(pa.compute.not_equal(met["kind"], substrings.SPAN)).to_pylist()
+    places = [[(e["kind"], e["x"], e["h"]) for e in entries if e["id"] == d[0]] for d in docs]
+    kind = pa.list_(pa.struct([("kind", pa.int64()), ("x", pa.int64()), ("h", pa.int64())]))
+    around = substrings._surroundings([pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array([[dict(zip(("kind", "x", "h"), p)) for p in q] for q in places], kind)], ["id", "text", "places"])])
+    rows = pa.Table.from_batches(list(around)).sort_by([("h", "ascending"), ("id", "ascending"), ("x", "ascending")])
+    monkeypatch.setattr(substrings, "powers", lambda n: (np.ones(n, np.uint64),) * 2)  # the sort's own hashes collide too
+    spans += substrings._compare(rows).to_pylist()
+    for i, kept, *_ in brute_substrings(docs):
+        s = (docs[i][1] or "").encode()
+        cut = {p for x in spans if x["id"] == i for p in range(x["x"], x["y"])}
+        assert bytes(b for p, b in enumerate(s) if p not in cut) == kept
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     text, length, unit = rng.integers(0, 3, (500, 20)).astype(np.uint8), rng.integers(0, 21, 500), np.sort(rng.integers(0, 20, 500))
