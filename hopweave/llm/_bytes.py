@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,6 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-#: ASCII lower case; other bytes stay.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 #: Blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -104,16 +102,19 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * inv[start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of non-space bytes that stays in one row, and its row."""
-    n = len(data)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    on = np.zeros(n + 2, bool)
-    on[1:-1] = ~SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    start = np.flatnonzero(on[1:] & (~on[:-1] | edge))
-    end = np.flatnonzero(on[:-1] & (~on[1:] | edge))
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+class WordHashes(dict):
+    """Keyed 64-bit BLAKE2b of words, kept for the ones seen first; a polynomial hash has texts that collide for any base."""
+
+    KEPT, LONGEST = 200_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The hashes of the words of text, runs of bytes other than blank and 0x09-0x0D, with A-Z in lower case."""
+        return np.array(list(map(self.__getitem__, text.lower().split())), U64)

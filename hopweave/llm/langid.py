@@ -3,16 +3,18 @@
 The pieces of a fixed public vocabulary get a probability per language, learned
 by expectation maximisation over all segmentations. A word's likelihood is the
 sum over its segmentations, by the forward algorithm; a text's is the product
-over its words. Words are maximal runs of letters in lower case, so that case,
-digits and punctuation count for nothing. The forward algorithm runs over many
+over its words. Words are letters and the marks that follow them, in lower case, so that case,
+numbers of any kind and punctuation count for nothing. The forward algorithm runs over many
 distinct words at once and each worker keeps the words it has seen.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-import zlib
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -22,17 +24,39 @@ from pyspark.sql import functions as F
 
 from hopweave.llm._bytes import batch_rows, trimmed
 
-#: At most about this many training documents per language, and languages.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
-#: Distinct words kept for training, the most frequent ones of the sample.
-TRAINING_WORDS = 60_000
+#: At most about this many training documents per language.
+SAMPLE_PER_LANGUAGE = 1500
 MAX_PIECE, MAX_WORD, ROUNDS = 8, 24, 3
 CACHE = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(*kinds: str, first: int = 0, end: int = sys.maxunicode + 1) -> str:
+    """The code points of some general categories as the inside of a character class."""
+    out, start = [], None
+    for c in range(first, end + 1):
+        if c < end and unicodedata.category(chr(c))[0] in kinds:
+            start = c if start is None else start
+        elif start is not None:
+            out.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return "".join(out)
+
+
+@functools.cache
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Whether a text leaves U+02FF; words within it; words of any script."""
+    letter = _class("L")
+    return re.compile("[\u0300-\U0010ffff]"), re.compile(f"[{_class('L', end=0x300)}]+"), re.compile(f"[{letter}][{letter}{_class('M')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    far, near, any_ = _patterns()
+    return (any_ if far.search(text) else near).findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Letter-only pieces, in lower case, of a public tokenizer: a tokenizers JSON with byte-level or word-end pieces."""
+    """Pieces of letters and marks, in lower case, of a public tokenizer: a tokenizers JSON with byte-level or word-end pieces."""
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
     # The byte-level alphabet: printable bytes stand for themselves, others for code points from 256.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,7 +68,7 @@ def vocabulary(path: str) -> list[str]:
         except (KeyError, UnicodeDecodeError):
             continue
         text = text.strip().lower()
-        if 0 < len(text) <= MAX_PIECE and text.isalpha():
+        if 0 < len(text) <= MAX_PIECE and all(unicodedata.category(c)[0] in "LM" for c in text):
             out.add(text)
     return sorted(out)
 
@@ -81,12 +105,11 @@ class Unigrams:
         return out
 
     def fit(self, counts: dict[str, Counter]) -> None:
-        """Expectation maximisation per language, from word counts; pieces are smoothed with their share in all languages."""
+        """Expectation maximisation per language, from counts of words of MAX_WORD letters at most; pieces are smoothed with their share in all languages."""
         for j, lang in enumerate(self.langs):
             by: dict[int, list] = {}
             for w, c in counts[lang].items():
-                if len(w) <= MAX_WORD:
-                    by.setdefault(len(w), []).append((w, c))
+                by.setdefault(len(w), []).append((w, c))
             grids = [(length, self.lattice([w for w, _ in rows]), np.array([c for _, c in rows], float)) for length, rows in by.items()]
             p = self.p[:, j].copy()
             for _ in range(ROUNDS):
@@ -109,30 +132,31 @@ class Unigrams:
 def fit(docs: DataFrame, vocab_path: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Unigrams:
     """Learn from docs(doc_id, text, lang) with a lang whose crc32(doc_id as text) mod 5 is not 0.
 
-    The sample is bounded: each language's documents are drawn by a hash of doc_id with the probability that gives
-    ``per_language`` of them, and the most frequent TRAINING_WORDS words of it are kept. A language is any non-null value; beyond
-    MAX_LANGUAGES the most frequent ones are learned.
+    The sample is bounded in documents: each language's are drawn by a hash of doc_id with the probability that gives
+    ``per_language`` of them. All their words count, runs of over MAX_WORD letters in parts as in predictions. A language is any
+    non-null value. Rows that repeat a doc_id all count or none does; other columns are not looked at.
     """
     batch_rows(docs.sparkSession, 1000)
-    own = docs.where("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "lang", "text")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    own = docs.where("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = own.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return Unigrams(vocabulary(vocab_path), [])
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    picked = own.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")])
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
+    picked = own.join(F.broadcast(share), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < F.col("share")).select("lang", "text")
 
     def words(batches):
         for batch in batches:
             got: dict[tuple, int] = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                for w, c in Counter(WORD.findall((text or "").lower())).items():
-                    got[lang, w] += c
+                for w, c in Counter(words_of(text)).items():
+                    for k in range(0, len(w), MAX_WORD):
+                        got[lang, w[k : k + MAX_WORD]] += c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "word", "c"])
 
-    top = picked.mapInArrow(trimmed(words), "lang string, word string, c long").where("length(word) <= 24").groupBy("lang", "word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang", "word").limit(TRAINING_WORDS).collect()
+    top = picked.mapInArrow(trimmed(words), "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     counts = {r["lang"]: Counter() for r in sizes}
-    for r in top:
-        counts[r["lang"]][r["word"]] = r["c"]
+    for lang, word, c in zip(*(top[n].to_pylist() for n in ("lang", "word", "c"))):
+        counts[lang][word] = c
     model = Unigrams(vocabulary(vocab_path), sorted(r["lang"] for r in sizes))
     model.fit(counts)
     return model
@@ -144,7 +168,7 @@ def predict(docs: DataFrame, model: Unigrams) -> DataFrame:
     lang_pred is ``und`` and score 0 where the text is null or has no letter, or no language was learned; ties go to
     the first language in order. The posterior is of a text at the mean log-likelihood of its words taken 20 times at most,
     so that long texts don't all saturate.
-    Whole texts count. Columns of docs with these names are replaced; all others stay.
+    Whole texts count. Every row is kept, those that repeat another too. Columns of docs with these names are replaced; all others stay.
     """
     batch_rows(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +182,7 @@ def predict(docs: DataFrame, model: Unigrams) -> DataFrame:
             preds, scores = [], []
             texts = batch["text"]
             for i in range(0, len(texts), 256):
-                found = [WORD.findall((t or "").lower()) for t in texts[i : i + 256].to_pylist()]
+                found = [words_of(t) for t in texts[i : i + 256].to_pylist()]
                 if len(seen) > CACHE:
                     seen.clear()
                 fresh = list({w for ws in found for w in ws if w not in seen})

@@ -9,8 +9,8 @@ similarity is at least the threshold agrees in ``matches`` coordinates or more
 * of the others only a prefix is posted: the rarest ``64 - matches + 1`` items in
   one global order, of which such a pair must share one; the items held by one
   document only fill the prefix first and are skipped, as is the frequent rest;
-* collisions of a candidate pair are counted over the whole signature, and pairs
-  above the match count are confirmed on the full sets.
+* the count of a candidate pair goes on over the rest of the signature by looking its coordinates up (the
+  skip: long posting lists are not merged), and pairs at or above the match count are confirmed on the full sets.
 
 Components need no pair twice: each posting list is first linked to its smallest
 document only (linear in its length), and only pairs between what are then still
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._bytes import LOWER, U64, batch_rows, mix, prefix_hash, slices, span_hash, words, trimmed
+from hopweave.llm._bytes import U64, WordHashes, batch_rows, binary, mix, trimmed
 from hopweave.llm._units import over_units
 from hopweave.operators.components import connected_components
 from hopweave.storage import discard, materialize
@@ -42,23 +42,23 @@ _A = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2
 _B = _SEED.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
 
 
+_hashes = WordHashes()
+
+
 def shingle_sets(column, size: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; none without words."""
-    for i, j, data, offsets in slices(column):
-        start, end, row = words(data, offsets)
-        h = span_hash(prefix_hash(LOWER[data]), start, end)
-        bound = np.searchsorted(row, np.arange(j - i + 1))
-        whole = np.full(len(h), U64(size))
-        for k in range(size):  # runs on past its document's end here; those are cut off below
-            whole[: max(0, len(h) - k)] = mix(whole[: max(0, len(h) - k)] * U64(0xD1342543DE82EF95) + h[k:])
-        for k in range(j - i):
-            a, b = bound[k], bound[k + 1]
-            if b - a >= size:
-                yield np.unique(whole[a : b - size + 1])
-            elif b > a:
-                yield np.frombuffer(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), U64)
-            else:
-                yield np.zeros(0, U64)
+    for text in binary(column):
+        h = _hashes.of(text.as_buffer().to_pybytes())
+        n = len(h) - size + 1
+        if n > 0:
+            whole = np.full(n, U64(size))
+            for k in range(size):
+                whole = mix(whole * U64(0xD1342543DE82EF95) + h[k : k + n])
+            yield np.unique(whole)
+        elif len(h):
+            yield np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), U64)
+        else:
+            yield np.zeros(0, U64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:

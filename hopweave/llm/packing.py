@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,53 +28,72 @@ from hopweave.storage import materialize
 
 #: Rows of one length that are ranked together, about.
 BLOCK = 5_000
-_encoders: dict[str, tuple] = {}
+#: Different words whose ids a worker keeps, and the length in characters up to which it does.
+KEPT, LONGEST = 400_000, 24
+_encoders: dict[str, object] = {}
 
+# White space as the published split pattern of byte-level BPE vocabularies of this kind takes it, a fixed value.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# The published split pattern of byte-level BPE vocabularies of this kind, a fixed value.
-BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+def _words(spec: dict):
+    """The compiled split pattern of a byte-level BPE without normaliser; None for any other tokenizer.
 
-def _ranks(spec: dict) -> dict[bytes, int] | None:
-    """Byte strings and ids of a byte-level BPE whose ids are in the order of its merges; None for any other tokenizer."""
+    Letters and numbers are listed for Latin script only (through U+024F), where no version of Unicode differs; other texts are not split here.
+    """
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or model.get("dropout") or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
         return None
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    code = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    added = {t["content"] for t in spec.get("added_tokens", ())}
-    vocab = {k: v for k, v in model["vocab"].items() if k not in added}
-    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-    if None in merged or any(x >= y for x, y in zip(merged, merged[1:])) or len(merged) + 256 != len(vocab):
-        return None
-    return {bytes(code[c] for c in k): v for k, v in vocab.items()}
+    kind = lambda k: "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == k)
+    letter, number = kind("L"), kind("N")
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{_BLANK}{letter}{number}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
-def encoder(path: str):
-    """texts -> little-endian uint32 ids of each, those of the tokenizers library without special tokens added.
+class Encoder:
+    """texts -> little-endian uint32 ids of each by the tokenizers library, without special tokens added.
 
-    Byte-level BPE vocabularies run on tiktoken's core, several times faster with the same ids (the vocabulary and merges come from the tokenizers
-    file); a text that holds the string of an added token, and any other kind of vocabulary, runs on the tokenizers library.
+    A byte-level BPE never joins what its split pattern cuts, so the library is asked for the ids of a different word only once, many words at a
+    time, and a text's ids are those of its words put together. Texts that hold the string of an added token, or a character that the
+    pattern here does not know, and all texts of other tokenizers go to the library whole.
     """
-    if path not in _encoders:
-        import tiktoken
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ranks = _ranks(spec)
-        core = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
-        _encoders[path] = Tokenizer.from_file(path), core, [t["content"] for t in spec.get("added_tokens", ())]
-    tokenizer, core, added = _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pattern, self.kept = _words(spec), {}
+        # Punctuation blocks that are neither letters nor numbers nor blanks in any version are known too.
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", ())]
+        self.whole = re.compile("|".join([*added, "[^\\x00-\u024f\u2010-\u2027\u2030-\u205e]"]))
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        slow = [i for i, t in enumerate(texts) if core is None or any(a in t for a in added)]
-        for i, e in zip(slow, tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False) if slow else ()):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return [x if x is not None else core.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for x, t in zip(out, texts)]
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return encode
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        slow = [i for i, t in enumerate(texts) if self.pattern is None or self.whole.search(t)]
+        for i, ids in zip(slow, self._ask([texts[i] for i in slow])):
+            out[i] = ids
+        words = {i: self.pattern.findall(texts[i]) for i, x in enumerate(out) if x is None}
+        fresh = list({w for ws in words.values() for w in ws if w not in self.kept})
+        self.kept.update(zip(fresh, self._ask(fresh)))
+        for i, ws in words.items():
+            out[i] = b"".join([self.kept[w] for w in ws])
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        for w in fresh:
+            if len(w) > LONGEST:
+                self.kept.pop(w, None)
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizers file, built once per worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -145,9 +166,10 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
     """pieces with sequence_id and offset. length is 1 to capacity; key orders equal lengths; pieces must be a stored table."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    blocks = max(1, sum(counts.values()) // BLOCK)
+    # Each length's own number of blocks: capacity rows at most.
+    blocks = spark.createDataFrame([(n, -(-c // BLOCK)) for n, c in counts.items()], "length long, _blocks long")
     runs = spark.createDataFrame(plan(counts, capacity), "length long, r0 long, r1 long, s0 long, per long, base long")
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
+    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks"))).drop("_blocks")
     each = dealt.groupBy("length", "_block").count()
     before = each.select("length", "_block", (F.sum("count").over(W.partitionBy("length").orderBy("_block")) - F.col("count")).alias("_before"))
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_block").orderBy(*key)) - 1)
@@ -159,6 +181,11 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every row of docs(doc_id, text), packed best-fit decreasing.
+
+    Null text counts as empty, a document of end_id alone. Rows that repeat a doc_id and rows without one are documents of their own, each packed whole.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
+    """
     batch_rows(docs.sparkSession, 1000)
     return pack(materialize(token_pieces(docs, tokenizer_path, end_id, capacity), "pack-pieces"), capacity, ["doc_id", "piece"])
 

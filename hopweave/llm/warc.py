@@ -116,7 +116,11 @@ def read_archive(content: bytes):
     decoder = zstandard.ZstdDecompressor(**options)
     while at < len(view):
         end = frame_end(view, at)
-        yield parse_record(decoder.decompress(view[at:end], max_output_size=0))
+        try:  # a frame need not name its content's size
+            block = decoder.decompressobj().decompress(view[at:end])
+        except zstandard.ZstdError as e:
+            raise WarcError(f"damaged frame: {e}") from None
+        yield parse_record(block)
         at = end
 
 

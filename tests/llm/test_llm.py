@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and held-out accuracy, with odd rows."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -53,6 +54,16 @@ def test_minhash(spark, size):
     assert minhash.minhash_components(docs.limit(0)).count() == 0
 
 
+def test_minhash_tells_words_of_colliding_polynomials_apart(spark, monkeypatch):
+    """Thue-Morse strings and their complements have one polynomial hash modulo 2**64 for any base."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)  # the texts meet the ids in a shuffle
+    tm = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, tm), (2, tm.translate(str.maketrans("ab", "ba"))), (3, tm), (4, words), (5, words + " more"), (6, words * 2000 + " x"), (7, words * 2000 + " y")]
+    got = {r.doc_id: r.component_id for r in minhash.minhash_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
+
+
 def brute_substrings(rows):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
@@ -134,6 +145,41 @@ def test_language(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs.limit(0), VOCAB)).count() == 0
 
 
+def test_letters_by_category(spark):
+    assert langid.words_of("½ ² ① Ⅷ 12 _-… 😀") == [] and langid.words_of("नमस्ते x½y") == ["नमस्ते", "x", "y"] and langid.words_of("Été²") == ["été"]
+    docs = spark.createDataFrame([(i, t, l) for i in range(60) for t, l in [("the cat and the dog " * 3, "en"), ("नमस्ते दुनिया " * 3, "hi"), ("x" * 500, "long")]], "doc_id long, text string, lang string")
+    model = langid.fit(docs, VOCAB)
+    odd = spark.createDataFrame([(i, t, 1.0, "q") for i, t in enumerate(["½", "² ① Ⅷ", "नमस्ते", "the dog", "x" * 100, "", None, "the dog"])], "doc_id long, text string, score double, lang_pred string")
+    got = langid.predict(odd, model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "hi", "en", "long", "und", "und", "en"] and got[3].score == got[7].score
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.pmod("doc_id", F.lit(60)))).union(spark.createDataFrame([(i, f"lang{i} " * 3, f"m{i}") for i in range(300)], "doc_id long, text string, lang string"))
+    assert len(langid.fit(many, VOCAB).langs) > 250  # as many as there are
+
+
+def plain_prediction(model, text):
+    """The same model in plain Python: every segmentation's sum letter by letter."""
+    ws = langid.words_of(text)
+    if not ws or not model.langs:
+        return "und"
+    total = [0.0] * len(model.langs)
+    for w in ws:
+        for k in range(0, len(w), langid.MAX_WORD):
+            part = w[k : k + langid.MAX_WORD]
+            for j in range(len(total)):
+                alpha = [1.0]
+                for e in range(1, len(part) + 1):
+                    alpha.append(sum(alpha[s] * (model.p[model.ids[part[s:e]], j] if part[s:e] in model.ids else model.p[-1, j] if e == s + 1 else 0.0) for s in range(max(0, e - langid.MAX_PIECE), e)))
+                total[j] += np.log(alpha[-1])
+    return model.langs[int(np.argmax(total))]
+
+
+def test_language_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, VOCAB)
+    short = docs.where("length(text) < 600 or text is null")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(short, model).collect()} == {r.doc_id: plain_prediction(model, r.text) for r in short.collect()}
+
+
 def test_forward_sums_all_segmentations():
     m = langid.Unigrams(["a", "ab", "b", "c", "bc"], ["x"])
     m.p = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [0.2]])
@@ -212,7 +258,27 @@ def test_packing(spark):
     assert own.length.sum() == len(ids) and (own.length.iloc[1:] == 1024).all() and [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length)] == own.ids_crc32.tolist()
     texts = ["a<|endoftext|> b", "", "  a\n\n b\t c", " \u00a0x²³ 1²é\u0301 ", "日本語 text 😀", "it's 3.5% of_it\r\n"]
     assert packing.encoder(VOCAB)(texts) == [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rnd = random.Random(3)
+    pool = [*map(chr, range(0x250)), *map(chr, range(0x2010, 0x205F)), *(" \n\t'stdmlvre 0123" * 12), "語", "😀", "½"]
+    texts = ["".join(rnd.choices(pool, k=rnd.randrange(60))) for _ in range(3000)] + ["a" + " " * 2_000_000 + "b" + "\n" * 1_000_000]
+    assert packing.encoder(VOCAB)(texts) == [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch(texts, add_special_tokens=False)]
     assert packing.pack_documents(docs.limit(0), VOCAB).count() == 0
+    odd = spark.createDataFrame([(None, "x y", 1), (None, "x y", 2), (7, "x y", 3), (7, "x y", 4), (8, None, 5), (9, "", 6)], "doc_id long, text string, sequence_id long")
+    got = packing.pack_documents(odd, VOCAB).collect()
+    assert len(got) == 6 and len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got) == [0, 3, 6, 9, 12, 13]
+
+
+def test_packing_against_plain_best_fit(spark):
+    """As many sequences as best-fit decreasing over single pieces takes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, VOCAB).toPandas()
+    rooms, opened = [], 0
+    for n in sorted(got.length, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else 1024
+        opened += at == len(rooms) and room == 1024
+        bisect.insort(rooms, room - n)
+    assert got.sequence_id.nunique() == opened
 
 
 def test_plan_fills_every_slot_once():
