@@ -9,6 +9,8 @@ Joins carry the vectors as given; all scores are computed in double precision.
 A query then walks the graph from its own place: each round opens the best unopened
 vectors of its pool, asks for their neighbours' scores, and keeps the best of all, until its pool has none unopened. Vectors
 are held in blocks of bounded size; a round sends each query to the blocks that hold what it asks for.
+A fixed number of queries is also compared with every vector; while the walks find too few of their true neighbours, the pool is doubled, so that
+the effort follows the table.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import functions as F
 
 from hopweave.llm._bytes import batch_rows
 from hopweave.llm._units import bounds, over_runs, over_units
-from hopweave.llm.vectors import usable
+from hopweave.llm.vectors import as_given, usable
 from hopweave.storage import discard, materialize
 
 NEIGHBOURS, SAMPLED, GROUP, STARTS = 40, 20, 128, 4
 POOL, OPENED, BLOCK = 200, 60, 4096
+#: Queries whose true neighbours are computed, and the share of these that a search has to find; with less, the pool doubles.
+PROBES, RECALL = 64, 0.95
 #: Rounds end when at most this share of the list entries is new.
 CHANGED = 0.001
 #: st of a list entry: joined in an earlier round, found and waiting, found and joined in the next round.
@@ -96,7 +100,7 @@ def _all_pairs(tab: pa.Table, key: list[str], threshold: str | None) -> pa.Recor
 
 
 def build_graph(vectors: DataFrame) -> DataFrame:
-    """GRAPH rows of a stored table (v long, x array<float>) of distinct v and equal lengths: each v's best neighbours, best first.
+    """GRAPH rows of a stored table (v long, x array of float or double) of distinct v and equal lengths: each v's best neighbours, best first.
 
     Scores are inner products in double precision.
     """
@@ -127,12 +131,45 @@ def build_graph(vectors: DataFrame) -> DataFrame:
     return graph
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def exact(vectors: DataFrame, ids: list[int], probes: np.ndarray, k: int) -> DataFrame:
+    """(v, sc) for few probes: the best k scores of each with all vectors but itself, vectors in blocks."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1).astype(float) @ probes.T
+            s[batch["v"].to_numpy()[:, None] == np.array(ids)[None, :]] = -np.inf
+            top = -np.sort(-s, axis=0)[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(top)), pa.int64()), pa.array(top.ravel())], ["v", "sc"])
+
+    best = vectors.select("v", "x").mapInArrow(run, "v long, sc double").where("sc > double('-Infinity')")
+    return best.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("sc"), False), 1, k).alias("sc"))
+
+
+def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As search, with the pool that a sample of the queries needs."""
+    total, pool = vectors.count(), max(POOL, 4 * k)
+    sample = vectors.join(queries.orderBy(F.xxhash64("v")).limit(PROBES), "v").collect()
+    ids = [r["v"] for r in sample]
+    truth = {r["v"]: r["sc"] for r in exact(vectors, ids, np.array([r["x"] for r in sample], float), k).collect()} if ids else {}
+    while True:
+        found = materialize(search(vectors, graph, queries, k, pool), "ann-found")
+        got = {r["v"]: r["sc"] for r in found.where(F.col("v").isin(ids)).select("v", "sc").collect()}
+        # By scores, so that of tied neighbours either will do.
+        hits = sum(sum(x >= t[-1] - 1e-9 * abs(t[-1]) for x in got.get(v, ())) for v, t in truth.items())
+        if hits >= RECALL * sum(map(len, truth.values())) or pool >= total:
+            return found
+        discard(found)
+        pool *= 2
+
+
+def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, pool: int = POOL) -> DataFrame:
     """(v, nb, sc): for each query v of queries(v), its best k of vectors but itself found by greedy search, sc in double precision.
 
     The walk ends when no query's pool holds a vector that has not been opened.
     """
-    total = vectors.count()
+    total, kind = vectors.count(), vectors.schema["x"].dataType.simpleString()
     blocks = max(1, -(-total // BLOCK))
     edges = graph.select("v", F.explode("nb").alias("u"))
     back = edges.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("v", "u")))).where(F.col("k") <= NEIGHBOURS).select(F.col("u").alias("v"), F.col("v").alias("u"))
@@ -158,7 +195,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
         for i in range(here, len(kind)):
             want = flat[off[i] : off[i + 1]]
             s = (base[np.searchsorted(ids, want)] * emb[i].astype(float)).sum(1)  # the same sum whatever else is asked: a score never changes, so a pool only gets better
-            b = np.lexsort((want, -s))[:POOL]
+            b = np.lexsort((want, -s))[:pool]
             for y, z in zip(outs, (np.full(len(b), v[i]), want[b], s[b])):
                 y.append(z)
         q, nb, sc = map(np.concatenate, outs)
@@ -177,7 +214,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
         nb, sc, done = nb[keep], sc[keep], done[keep]
         nb, i = np.unique(nb, return_index=True)
         sc, done = sc[i], done[i] | np.isin(nb, front)
-        o = np.lexsort((nb, -sc))[:POOL]
+        o = np.lexsort((nb, -sc))[:pool]
         nb, sc, done = nb[o], sc[o], done[o]
         front = nb[~done][:OPENED]
         return pa.RecordBatch.from_arrays([tab["v"][:1].combine_chunks(), tab["x"].slice(first, 1).combine_chunks(), pa.array([nb], pa.list_(pa.int64())), pa.array([sc], pa.list_(pa.float64())), pa.array([done.tolist()], pa.list_(pa.bool_())), pa.array([front], pa.list_(pa.int64()))], ["v", "x", "nb", "sc", "opened", "front"])
@@ -188,8 +225,8 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
         wanted = wanted.join(known, ["v", "n"], "left_anti").groupBy("v", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block")).agg(F.collect_list("n").alias("ask"))
         asked = wanted.join(state.select("v", "x"), "v").select("block", F.lit(1).alias("kind"), "v", "x", "ask")
         found = over_units(placed.union(asked), ["block"], answer, LISTS, ["kind"])
-        rows = state.select("v", "x", F.lit(0).alias("kind"), "nb", "sc", "opened", "front").union(found.select("v", F.lit(None).cast("array<float>"), F.lit(1), "nb", "sc", F.lit(None).cast("array<boolean>"), F.lit(None).cast("array<long>")))
-        after = materialize(over_units(rows, ["v"], settle, "v long, x array<float>, nb array<long>, sc array<double>, opened array<boolean>, front array<long>", ["kind"]), "ann-state")
+        rows = state.select("v", "x", F.lit(0).alias("kind"), "nb", "sc", "opened", "front").union(found.select("v", F.lit(None).cast(kind), F.lit(1), "nb", "sc", F.lit(None).cast("array<boolean>"), F.lit(None).cast("array<long>")))
+        after = materialize(over_units(rows, ["v"], settle, f"v long, x {kind}, nb array<long>, sc array<double>, opened array<boolean>, front array<long>", ["kind"]), "ann-state")
         discard(state)
         state = after
     discard(near)
@@ -205,7 +242,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     batch_rows(table.sparkSession, 10_000)
-    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
+    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(as_given(table, "embedding")).alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     size = table.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     table = materialize(table.where(F.size("embedding") == (size[0]["d"] if size else 0)).groupBy("vec_id").agg(F.min("embedding").alias("x")), "ann-table")
     classes = materialize(table.groupBy("x").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies")), "ann-classes")
@@ -215,7 +252,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     shown = twins.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("k") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = materialize(queries.select(F.col("vec_id").cast("long").alias("query_id")).distinct().join(table.select(F.col("vec_id").alias("query_id"), "x"), "query_id"), "ann-asked")
     asked = asked.join(twins.select(F.col("vec_id").alias("query_id"), "v"), "query_id", "left").select("query_id", F.coalesce("v", "query_id").alias("v"), "x")
-    found = search(vectors, build_graph(vectors), asked.select("v").distinct(), k)
+    found = searched(vectors, build_graph(vectors), asked.select("v").distinct(), k)
     hits = found.select("v", F.explode(F.arrays_zip("nb", "sc")).alias("h")).select("v", F.col("h.nb").alias("u"), F.col("h.sc").alias("score"))
     dot = F.aggregate("x", F.lit(0.0).cast("double"), lambda a, y: a + y.cast("double") * y.cast("double"))
     self = asked.join(shown.select("v"), "v", "left_semi").select("query_id", F.col("v").alias("u"), dot.alias("score"))

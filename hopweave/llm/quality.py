@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from hopweave.llm._bytes import SPACE, U64, batch_rows, mix, prefix_hash, slices, span_hash, trimmed
 
 BITS = 18
-#: Labelled documents drawn for training, about.
-SAMPLE = 6000
+#: Labelled documents drawn for training, about, and the distinct features at which a document is too long to be one of them.
+SAMPLE, LONGEST = 6000, 50_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 1e-3, 3
 
 # Byte classes: space 0, word (letters, digits, every byte of a non-ASCII character) 1, other 2.
@@ -91,8 +91,8 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from docs(doc_id, text) and labels(doc_id, quality) where crc32(doc_id as text) mod 3 is not 1.
 
-    The sample is bounded: labelled rows are drawn by a hash of doc_id with the probability that gives ``sample`` of
-    them. Null labels and ids are left out; repeated labels of an id count once, the higher one. Without both classes
+    The sample is bounded in rows, drawn by a hash of doc_id with the probability that gives ``sample`` of them, and in bytes: documents of more than LONGEST
+    different features are not learned from (they are scored). Null labels and ids are left out; repeated labels of an id count once, the higher one. Without both classes
     only the bias is learned.
     """
     batch_rows(docs.sparkSession, 1000)
@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def run(batches):
         for batch in batches:
             f = list(features(batch["text"]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"].cast(pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in f], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in f], pa.binary())], ["doc_id", "y", "i", "v"])
+            fits = pa.array([len(i) <= LONGEST for i, _ in f], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"].cast(pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in f], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in f], pa.binary())], ["doc_id", "y", "i", "v"]).filter(fits)
 
     got = rows.mapInArrow(trimmed(run), "doc_id long, y int, i binary, v binary").toArrow()
     model = Ftrl()

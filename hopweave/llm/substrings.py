@@ -390,8 +390,11 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs(id, doc_id, text, extra) with text replaced by kept (binary), n_bytes, n_removed and n_spans, after the spans of each id are united."""
+def remove_repeats(docs: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
+    """docs(id, doc_id, text, extra) with text replaced by kept (binary), n_bytes, n_removed and n_spans, after the spans of each id are united.
+
+    With as_text kept is a string, without what is left of characters that were cut in two.
+    """
 
     def run(batches):
         for batch in batches:
@@ -415,24 +418,25 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 left = b"".join(parts)
                 for c, v in zip((kept, total, gone, count), (left, len(s), len(s) - len(left), len(cut))):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["extra"], pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (total, gone, count))], ["doc_id", "extra", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["extra"], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (total, gone, count))], ["doc_id", "extra", "kept", "n_bytes", "n_removed", "n_spans"])
 
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
     kind = docs.schema["extra"].dataType.simpleString()
-    return docs.join(lists, "id", "left").select("doc_id", "extra", "text", "spans").mapInArrow(trimmed(run), f"doc_id long, extra {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(lists, "id", "left").select("doc_id", "extra", "text", "spans").mapInArrow(trimmed(run), f"doc_id long, extra {kind}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """(doc_id, extra, kept, n_bytes, n_removed, n_spans) of every row of docs(doc_id, text).
 
     Texts are UTF-8 bytes, null is empty. Each byte goes that is covered by a LENGTH-byte string which also starts earlier: in a smaller doc_id, or
-    earlier in the same document. Strings never cross documents and are judged on the input. kept holds the remaining bytes, n_spans
+    earlier in the same document. Strings never cross documents and are judged on the input. kept holds the remaining bytes (with as_text a string of the
+    whole characters left), n_spans
     counts the maximal removed runs. Rows with a null doc_id come first, rows that repeat a doc_id are documents of their own in the order of their
     texts. Other columns come back in the struct extra; an empty table gives no rows.
     """
     batch_rows(docs.sparkSession, 2000)
     docs = _numbered(docs)
-    return remove_repeats(docs, covered_spans(docs))
+    return remove_repeats(docs, covered_spans(docs), as_text)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

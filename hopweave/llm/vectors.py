@@ -41,6 +41,12 @@ def usable(embedding: str) -> F.Column:
     return F.coalesce(F.col(embedding).isNotNull() & ok & F.exists(F.col(embedding), lambda x: x != 0), F.lit(False))
 
 
+def as_given(table: DataFrame, column: str) -> str:
+    """The array type in which a column's numbers keep their precision: double where they are doubles, else float."""
+    kind = table.schema[column].dataType.simpleString()
+    return "array<float>" if kind in ("array<float>", "array<tinyint>", "array<smallint>") else "array<double>"
+
+
 def calibrate(threshold: float, largest: int) -> tuple[int, int, float, int]:
     """g, number of groups, window half-width and least count."""
     r = math.sqrt(max(2 - 2 * threshold, 1e-12))
@@ -74,10 +80,11 @@ def embedding_links(table: DataFrame, threshold: float = 0.98) -> DataFrame:
     Vectors link when their labels are equal and not null, their lengths equal and their cosine, in double precision,
     at least threshold. Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows with a null vec_id
     (component_id null, kept true). Rows that repeat a vec_id are vectors of their own with one component. n_links counts the other
-    vectors linked directly; component_id is the smallest vec_id reachable. Other columns are ignored.
+    vectors linked directly; component_id is the smallest vec_id reachable. Other columns are ignored; an empty table gives no rows.
     """
     batch_rows(table.sparkSession, 10_000)
-    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = as_given(table, "embedding")
+    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("long").alias("label"))
     ok = table.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding"))
     classes = materialize(ok.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vec-classes")
     # A vec_id on different vectors is one vertex of the links: their classes are joined below.
@@ -100,7 +107,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.98) -> DataFrame:
                     out[k] = row
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["label"], batch["weight"], raw, pa.array(out, pa.list_(pa.int64()))], ["id", "label", "weight", "embedding", "cells"])
 
-    posted = materialize(classes.select("rep", "label", "weight", "embedding").mapInArrow(post, "id long, label long, weight long, embedding array<float>, cells array<long>").withColumn("row", F.xxhash64("id", "label", "embedding")), "vec-posted")
+    posted = materialize(classes.select("rep", "label", "weight", "embedding").mapInArrow(post, f"id long, label long, weight long, embedding {kind}, cells array<long>").withColumn("row", F.xxhash64("id", "label", "embedding")), "vec-posted")
     postings = posted.select("row", F.posexplode("cells").alias("t", "cell"))
     met = postings.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell", F.ceil(F.col("k") / TILE).alias("tiles"))
     tiled = postings.join(materialize(met, "vec-met"), "cell").withColumn("b", F.expr("pmod(xxhash64(row), tiles)"))
@@ -114,7 +121,9 @@ def embedding_links(table: DataFrame, threshold: float = 0.98) -> DataFrame:
         emb = tab["embedding"].chunk(0)
         length = np.diff(emb.offsets.to_numpy())
         if (length != length[0]).any():  # only where two hashes collide
-            return None
+            parts = [unit(tab.filter(pa.array(length == n))) for n in np.unique(length)]
+            parts = [p for p in parts if p is not None]
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
         x = emb.flatten().to_numpy().reshape(tab.num_rows, -1).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         ids, weight, b, label = (tab[c].to_numpy() for c in ("id", "weight", "b", "label"))
@@ -173,7 +182,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.98) -> DataFrame:
             ["a", "b", "n", "label", "embedding"],
         )
 
-    found = materialize(over_units(rows, ["unit", "i", "j"], unit, "a long, b long, n long, label long, embedding array<float>"), "vec-found")
+    found = materialize(over_units(rows, ["unit", "i", "j"], unit, f"a long, b long, n long, label long, embedding {kind}"), "vec-found")
     counts = materialize(found.where("b is null").groupBy("label", "embedding").agg(F.sum("n").alias("n")), "vec-counts")
     # Every row's own id is tied to its class's smallest id, so that copies and repeated ids share a component.
     placed = materialize(table.withColumn("_ok", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding")).join(classes.withColumn("_ok", F.lit(True)), ["_ok", "label", "embedding"], "left").join(counts.withColumn("_ok", F.lit(True)), ["_ok", "label", "embedding"], "left").select("vec_id", "rep", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links")), "vec-placed")

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -303,9 +304,48 @@ def test_pieces(spark):
     data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
     texts = ["", "  a  b ", "a\n\n b\t c", "é日本😀 \x00 x", "▁ a▁b", "<s> </s> <unk> <0x41>", " lead", "trail ", "   ", "word " * 2000]
     assert pieces.parity(data, texts) == []
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
-    assert all(got[i].decoded == t for i, t in enumerate(texts) if "▁" not in t) and got[None].ids == []
+    docs = spark.createDataFrame([(i, t, [1], "d") for i, t in enumerate(texts)] + [(None, None, None, None), (0, "again", None, None)], "doc_id long, text string, ids array<int>, decoded string")
+    got = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted(r.decoded.replace("▁", " ") for r in got) == sorted([*(t.replace("▁", " ") for t in texts), "", "again"])
+    assert [r.ids for r in got if r.doc_id is None] == [[]]
+    assert pieces.encode(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def _proto(number, value):
+    """A protobuf field: bytes, a float or a varint."""
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+
+@pytest.mark.parametrize("fallback", [1, 0])
+@pytest.mark.parametrize("squeeze", [1, 0])
+@pytest.mark.parametrize("own", [[], ["<sep>", "[[x]]"]])
+def test_unigram_pieces(fallback, squeeze, own):
+    """A unigram model set down by a rule, not trained: the pieces of a public vocabulary with scores that fall with the rank."""
+    public = [p for p, _, k in pieces.read_model(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())["pieces"] if k == pieces.NORMAL][:6000]
+    rows = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL), *((p, 0.0, pieces.USER_DEFINED) for p in own)]
+    rows += [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256 * fallback)]
+    letters = [c for c in "▁abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,0123456789é" if c not in public]
+    rows += [(p, -float(np.log(k + 2)) * 1.37, pieces.NORMAL) for k, p in enumerate([*public, *letters])]
+    body = b"".join(_proto(1, _proto(1, p.encode()) + _proto(2, s) + _proto(3, k)) for p, s, k in rows)
+    data = body + _proto(2, _proto(3, 1) + _proto(35, fallback)) + _proto(3, _proto(1, b"identity") + _proto(3, 1) + _proto(4, squeeze) + _proto(5, 1))
+    docs = pd.read_parquet(f"{SF}/documents.parquet").text.fillna("").tolist()
+    texts = ["", "  a  b ", "a\n\n b\t c", "é日本😀 \x00 x", "<s> </s> <unk> <0x41>", "a<sep>b <sep> c[[x]]", "aaaaaaaaaa bbbb", *docs]
+    assert [texts[i][:80] for i in pieces.parity(data, texts)] == []
+
+
+def test_a_difference_is_an_error(monkeypatch):
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    monkeypatch.setattr(pieces.Pieces, "encode", lambda self, texts: [[5] for _ in texts])
+    with pytest.raises(pieces.ParityError):
+        pieces._verify(data, ["some text"])
 
 
 def test_nearest(spark):
