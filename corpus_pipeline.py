@@ -21,37 +21,47 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# All stages: rows are taken as they come; rows that repeat a doc_id or have none are documents of their own unless a stage says otherwise, every column of
+# documents comes back whatever its name, null texts count as empty, and an empty table gives an empty table.
+
+
+def _scored(docs: DataFrame, score) -> DataFrame:
+    """score(docs) where all columns of docs but text have names that score cannot clash with; _back gives them their names again."""
+    return score(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}))
+
+
+def _back(scored: DataFrame, columns: list[str]) -> DataFrame:
+    return scored.select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those of no language that stands out, go."""
-    scored = langid.predict(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), langid.fit(docs, _tokenizer()))
-    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in docs.columns])
+    """Documents without a letter (null and empty texts too), and those of no language that stands out, go. The model is fitted on rows with a doc_id and a lang; where there are none, all go."""
+    model = langid.fit(docs, _tokenizer())
+    scored = _scored(docs, lambda d: langid.predict(d, model))
+    return _back(scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier of quality 0 go."""
+    """Documents that are likelier of quality 0 go. Labels of ids that docs lacks, and null labels, count for nothing; without any label all documents stay."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), weights)
-    return scored.where("predicted = 1").select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in docs.columns])
+    return _back(_scored(docs, lambda d: quality.score(d, weights)).where("predicted = 1"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the smallest doc_id stays; documents without an id or words stay."""
+    """Of each group of near duplicates (five-word shingles, 0.8) the smallest doc_id stays, with all rows that repeat it; documents without an id or words stay."""
     gone = materialize(minhash.minhash_components(docs.select("doc_id", "text"), size=5, percent=80).where("not kept").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 100-byte strings are cut from the texts; bytes of characters that were cut in two go too. n_chars follows, every document stays."""
-    out = substrings.dedup_substrings(docs)
-    kept = "cast(kept as string)"
-    text = F.coalesce(F.expr(f"try_validate_utf8({kept})"), F.regexp_replace(F.expr(f"make_valid_utf8({kept})"), "\ufffd", ""))
-    fields = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    """Repeated 100-byte strings are cut from the texts; what is left of characters that were cut in two goes too. n_chars follows, every document stays, null texts become empty."""
+    out = substrings.dedup_substrings(docs, as_text=True)
+    fields = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[fields.get(c, F.col(f"extra.`{c}`")).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed token pieces of what is left."""
+    """The packed token pieces of what is left: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack_documents(docs, _tokenizer())
 
 
