@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -64,6 +65,9 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern, self.kept = _words(spec), {}
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(piece)  # a character of a byte-level piece is a byte
         # Punctuation blocks that are neither letters nor numbers nor blanks in any version are known too.
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", ())]
         self.whole = re.compile("|".join([*added, "[^\\x00-\u024f\u2010-\u2027\u2030-\u205e]"]))
@@ -71,6 +75,22 @@ class Encoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _ask_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of different words. A blank with letters behind it is a word wherever it stands, so many of these are asked for as one text, and told apart by their bytes."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        out = dict(zip(other, self._ask(other)))
+        runs = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for run, ids in zip(runs, self._ask(["".join(r) for r in runs])):
+            ends = np.cumsum([len(w.encode()) for w in run])
+            have = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
+            cut = np.searchsorted(have, ends)
+            if not np.array_equal(have[np.minimum(cut, len(have) - 1)], ends):
+                raise AssertionError("a piece reaches over the end of a word")
+            cut = [0, *((cut + 1) * 4).tolist()]
+            out.update((w, ids[a:b]) for w, a, b in zip(run, cut, cut[1:]))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         slow = [i for i, t in enumerate(texts) if self.pattern is None or self.whole.search(t)]
@@ -78,7 +98,7 @@ class Encoder:
             out[i] = ids
         words = {i: self.pattern.findall(texts[i]) for i, x in enumerate(out) if x is None}
         fresh = list({w for ws in words.values() for w in ws if w not in self.kept})
-        self.kept.update(zip(fresh, self._ask(fresh)))
+        self.kept.update(self._ask_words(fresh))
         for i, ws in words.items():
             out[i] = b"".join([self.kept[w] for w in ws])
         if len(self.kept) > KEPT:
@@ -105,6 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         encode = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -33,7 +33,7 @@ from hopweave.storage import discard, materialize
 
 LENGTH, GRAM = 100, 32
 #: Different surroundings that are sorted in one piece; it bounds memory and changes no result.
-UNIT = 16384
+UNIT = 2048
 #: Anchors of texts in hand among which copies are joined before the shuffle.
 JOINED = 400_000
 REACH = LENGTH - GRAM  # the strings over a gram start up to this far left of it
