@@ -46,6 +46,40 @@ def compact(value: Column) -> Column:
     return F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
 
 
+def compacts(values: Column) -> Column:
+    """Values in the form in which they are compared, blanks dropped."""
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: compact(fold(v))), lambda v: v != "")
+
+
+def near(x: Column, y: Column) -> Column:
+    """overlaps of values that are in compact form already; equal ones are found without looking at every pair."""
+    inside = lambda a, b: (F.length(a) > 3) & (F.length(b) > 3) & (F.contains(a, b) | F.contains(b, a))
+    return F.coalesce(F.arrays_overlap(x, y), F.lit(False)) | F.coalesce(F.exists(x, lambda a: F.exists(y, lambda b: inside(a, b))), F.lit(False))
+
+
+def prepared(attrs: Column) -> Column:
+    """What pairs of observations are compared by, once a row: compact values per compared key, and the employer-shaped ones per exclusive key."""
+    held = [compacts(_of(attrs, k)).alias(k) for k in D.COMPARED_KEYS]
+    return F.struct(*held, *[compacts(F.filter(_of(attrs, k), looks_like_employer)).alias(f"only_{k}") for k in D.EXCLUSIVE_KEYS])
+
+
+def prepared_conflict(a: Column, b: Column) -> Column:
+    """Whether two prepared sets name organisations on an exclusive key of which none overlap."""
+    out = F.lit(False)
+    for k in D.EXCLUSIVE_KEYS:
+        x, y = a[f"only_{k}"], b[f"only_{k}"]
+        out = out | ((F.size(x) > 0) & (F.size(y) > 0) & ~near(x, y))
+    return out
+
+
+def prepared_match(a: Column, b: Column) -> Column:
+    """Whether two prepared sets share a value on some compared key."""
+    out = F.lit(False)
+    for k in D.COMPARED_KEYS:
+        out = out | near(a[k], b[k])
+    return out
+
+
 def overlaps(left: Column, right: Column) -> Column:
     """Any pair equal in compact form, or one inside the other when both are longer than three."""
 

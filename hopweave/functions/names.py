@@ -76,6 +76,18 @@ def could_be_same_name(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((a == b) | ((sa != "") & (sa == sb) & same_given))
 
 
+def prepared(toks: Column) -> Column:
+    """What could_be_same_name looks at, once a row."""
+    return F.struct(toks.alias("tok"), given(toks).alias("given"), surname(toks).alias("surname"), given_forms(given(toks)).alias("forms"))
+
+
+def prepared_same_name(a: Column, b: Column) -> Column:
+    """could_be_same_name of prepared names."""
+    ga, gb = a["given"], b["given"]
+    same_given = F.when(ga == gb, True).when((F.length(ga) == 1) | (F.length(gb) == 1), F.substring(ga, 1, 1) == F.substring(gb, 1, 1)).otherwise(F.arrays_overlap(a["forms"], b["forms"]))
+    return (F.size(a["tok"]) > 0) & (F.size(b["tok"]) > 0) & ((a["tok"] == b["tok"]) | ((a["surname"] != "") & (a["surname"] == b["surname"]) & same_given))
+
+
 def variants(toks: Column) -> Column:
     g, s = given(toks), surname(toks)
     forms = F.concat(F.transform(given_forms(g), lambda f: F.concat(f, F.lit(" "), s)), F.array(F.concat(F.substring(g, 1, 1), F.lit(" "), s)))

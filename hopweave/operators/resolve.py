@@ -9,19 +9,23 @@ from hopweave import dictionaries as D
 from hopweave.functions import attrs as A
 from hopweave.functions import names as N
 from hopweave.operators.components import connected_components
+from hopweave.storage import materialize
 
 
-def ladder(left: str, right: str, clusters: Column, shares_neighbour: Column, verdict: Column, threshold: int = 3) -> Column:
-    """struct(basis, allowed) for two observation structs with name, url, attributes, canonical_urls and provenance_name. Rungs in order."""
-    a, b = (lambda f: F.col(f"{left}.{f}")), (lambda f: F.col(f"{right}.{f}"))
-    ok = A.compatible(a("attributes"), b("attributes"))
+#: Rows of one name that meet all the others in one task.
+PART = 256
+
+
+def ladder(conflicts: Column, matches: Column, same_canonical: Column, same_url: Column, provenance: Column, clusters: Column, shares_neighbour: Column, verdict: Column, threshold: int = 3) -> Column:
+    """struct(basis, allowed) of what is known about two observations of a name. Rungs in order."""
+    ok = ~conflicts & matches
     vetoed = F.coalesce(verdict, F.lit("unknown")) == "no"
     step = lambda basis, allowed: F.struct(F.lit(basis).alias("basis"), allowed.alias("allowed"))
     return (
-        F.when(F.coalesce(F.arrays_overlap(a("canonical_urls"), b("canonical_urls")), F.lit(False)), step("same_canonical_url", F.lit(True)))
-        .when(A.conflict(a("attributes"), b("attributes")).isNotNull(), step("conflicting_attributes", F.lit(False)))
-        .when(a("url") == b("url"), step("single_referent_co_occurrence", F.lit(True)))
-        .when(F.coalesce(N.could_be_same_name(N.tokens(b("provenance_name")), N.tokens(b("name"))), F.lit(False)), step("search_provenance", F.lit(True)))
+        F.when(same_canonical, step("same_canonical_url", F.lit(True)))
+        .when(conflicts, step("conflicting_attributes", F.lit(False)))
+        .when(same_url, step("single_referent_co_occurrence", F.lit(True)))
+        .when(provenance, step("search_provenance", F.lit(True)))
         .when(ok & shares_neighbour, step("attributes_plus_shared_neighbor", ~vetoed))
         .when(ok & (clusters >= threshold), step("name_too_common", F.lit(False)))
         .when(ok, step("rare_name_attributes", ~vetoed))
@@ -29,29 +33,56 @@ def ladder(left: str, right: str, clusters: Column, shares_neighbour: Column, ve
     )
 
 
-def decisions(obs: DataFrame, block: Column | None = None, threshold: int = 3) -> DataFrame:
+def clusters(own: DataFrame, threshold: int = 3) -> DataFrame:
+    """(block, clusters) of own(block, obs_id, p): how many mutually inconsistent readings a name has, met in the order of obs_id, counted up to threshold.
+
+    A reading is one more where it contradicts all that were counted before. Equal attribute sets are one, so a hot block holds its different sets only.
+    """
+    only = F.struct(*[F.col(f"p.only_{k}").alias(f"only_{k}") for k in D.EXCLUSIVE_KEYS])
+    sets = own.select("block", "obs_id", only.alias("s")).groupBy("block", "s").agg(F.min("obs_id").alias("first"))
+    found = sets.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "s"))), lambda x: x["s"]).alias("sets"))
+    none = F.slice(F.col("sets"), 1, 0)
+    grown = F.aggregate("sets", none, lambda kept, x: F.when((F.size(kept) < threshold) & F.forall(kept, lambda c: A.prepared_conflict(c, x)), F.concat(kept, F.array(x))).otherwise(kept))
+    return found.select("block", F.greatest(F.size(grown), F.lit(1)).alias("clusters"))
+
+
+def decisions(obs: DataFrame, block: Column | None = None, threshold: int = 3, verdicts: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, basis, allowed) of observation pairs that share a block and could share a name.
 
     obs(obs_id, name, url, attributes map, canonical_urls array, provenance_name, [neighbour_orgs array]). The block is the name
-    key; a hot one is split by adaptive execution, as the join is a plain equi-join.
+    key. verdicts(left_id, right_id, verdict), ids in
+    order, holds what a judge said; "no" forbids a merge on attributes.
     """
     toks = N.tokens(F.col("name"))
-    own = obs.withColumn("_tok", toks).withColumn("block", block if block is not None else N.name_key(toks)).where("block <> ''")
-    if "neighbour_orgs" not in obs.columns:
-        own = own.withColumn("neighbour_orgs", F.array().cast("array<string>"))
-    row = F.struct(*[F.col(c) for c in (*obs.columns, "_tok", *(() if "neighbour_orgs" in obs.columns else ("neighbour_orgs",)))])
-    packed = own.select("block", row.alias("o"))
-    # Mutually inconsistent readings of a name: its distinct employer sets, at most.
-    clusters = own.groupBy("block").agg(F.greatest(F.size(F.collect_set(F.to_json(F.try_element_at("attributes", F.lit("employer"))))), F.lit(1)).alias("clusters"))
-    pairs = packed.select("block", F.col("o").alias("l")).join(packed.select("block", F.col("o").alias("r")), "block").where("l.obs_id < r.obs_id").where(N.could_be_same_name(F.col("l._tok"), F.col("r._tok"))).join(clusters, "block")
-    orgs = F.flatten(F.map_values(F.map_filter(F.col("r.attributes"), lambda k, v: k.isin("employer", "institution"))))
-    d = ladder("l", "r", F.col("clusters"), A.overlaps(F.col("l.neighbour_orgs"), orgs), F.lit(None).cast("string"), threshold)
-    return pairs.select(F.col("l.obs_id").alias("left_id"), F.col("r.obs_id").alias("right_id"), d.alias("d")).select("left_id", "right_id", "d.*")
-
-
-def resolve(obs: DataFrame, threshold: int = 3) -> DataFrame:
+    orgs = F.col("neighbour_orgs") if "neighbour_orgs" in obs.columns else F.array().cast("array<string>")
+    own = obs.select("obs_id", (block if block is not None else N.name_key(toks)).alias("block"), N.prepared(toks).alias("n"), "url", A.prepared(F.col("attributes")).alias("p"), F.col("canonical_urls").alias("canon"), N.prepared(N.tokens(F.col("provenance_name"))).alias("prov"), A.compacts(orgs).alias("orgs")).where("block <> ''")
+    own = materialize(own, "observations")  # read for both sides and for the readings of a name
+    # A name with many rows is dealt in parts of PART on the left, with all its rows on the right of each, so that no task has all pairs of a hot name.
+    parts = own.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    dealt = own.join(parts, "block")
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts"))).select("block", "part", F.struct("obs_id", "n", "url", "p", "canon", "orgs").alias("l"))
+    right = dealt.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("block", "part", F.struct("obs_id", "n", "url", "p", "canon", "prov").alias("r"))
+    # Few bytes make many pairs: the number of tasks is that of the setting, not one by the size of the rows.
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(tasks, "block", "part").join(right.repartition(tasks, "block", "part").hint("merge"), ["block", "part"]).where("l.obs_id < r.obs_id").where(N.prepared_same_name(F.col("l.n"), F.col("r.n"))).join(clusters(own, threshold), "block")
+    said = F.lit(None).cast("string")
+    if verdicts is not None:
+        pairs = pairs.join(verdicts.select("left_id", "right_id", "verdict"), (F.col("l.obs_id") == F.col("left_id")) & (F.col("r.obs_id") == F.col("right_id")), "left")
+        said = F.col("verdict")
+    known = pairs.select(
+        F.col("l.obs_id").alias("left_id"), F.col("r.obs_id").alias("right_id"), "clusters", said.alias("verdict"),
+        A.prepared_conflict(F.col("l.p"), F.col("r.p")).alias("conflicts"), A.prepared_match(F.col("l.p"), F.col("r.p")).alias("matches"),
+        F.coalesce(F.arrays_overlap("l.canon", "r.canon"), F.lit(False)).alias("same_canonical"), (F.col("l.url") == F.col("r.url")).alias("same_url"),
+        F.coalesce(N.prepared_same_name(F.col("r.prov"), F.col("r.n")), F.lit(False)).alias("provenance"),
+        A.near(F.col("l.orgs"), F.concat(F.col("r.p.employer"), F.col("r.p.institution"))).alias("neighbour"),
+    )
+    d = ladder(*[F.col(c) for c in ("conflicts", "matches", "same_canonical", "same_url", "provenance", "clusters", "neighbour", "verdict")], threshold)
+    return known.select("left_id", "right_id", d.alias("d")).select("left_id", "right_id", "d.*")
+
+
+def resolve(obs: DataFrame, threshold: int = 3, verdicts: DataFrame | None = None) -> DataFrame:
     """(obs_id, node_id): components of the allowed pairs; obs_id is a long and node_id the smallest of its node."""
-    allowed = decisions(obs, threshold=threshold).where("allowed").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    allowed = decisions(obs, threshold=threshold, verdicts=verdicts).where("allowed").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
     comps = connected_components(allowed)
     return obs.select("obs_id").join(comps.select(F.col("node").alias("obs_id"), "component"), "obs_id", "left").select("obs_id", F.coalesce("component", "obs_id").alias("node_id"))
 

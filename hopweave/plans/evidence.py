@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hopweave.functions import names as N
 from hopweave.operators import console, graph, ordered, search
-from hopweave.plans.queries import _ALL_EDGE_SQL, _ALL_SEED, _BFS_SQL, _EDGE_SQL, _SEED, _all_evidence, _all_seeds, _customers, _evidence, _scored, _seeds
+from hopweave.plans.queries import _BFS_SQL, _EDGE_SQL, _SEED, _customers, _evidence, _scored, _seeds
 from hopweave.plans.registry import query
 from hopweave.plans.registry import table as _t
 from hopweave.sources import recorded, seeds
@@ -85,21 +85,9 @@ def f12_connected_edges(spark, sf):
     return search.connected_only(o, known).select("eid")
 
 
-@query("j5_replayed_relations", """WITH r AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_custkey % 10 = 0 AND o_orderdate >= TIMESTAMP '1998-01-01')
+@query("j5_replayed_relations", """WITH r AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
 SELECT side, CASE side WHEN 'subject' THEN 'Customer ' || c ELSE 'Clerk ' || p END AS name, 'Customer ' || c AS provenance_name FROM r CROSS JOIN (VALUES ('subject'), ('object')) v(side)""")
 def j5_replayed_relations(spark, sf):
-    o = _t(spark, sf, "orders")
-    subject, obj = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.concat(F.lit("Clerk "), "o_orderpriority")
-    span = F.concat_ws(" ", subject, F.lit("met"), obj)
-    rel = o.select(subject.alias("subject_name"), obj.alias("object_name"), F.lit("u").alias("source_url"), span.alias("span_text"), F.lit(0).alias("span_start"), F.length(span).alias("span_end"), N.name_key(N.tokens(subject)).alias("subject_key"), N.name_key(N.tokens(obj)).alias("object_key"), F.col("o_orderdate").cast("timestamp").alias("cached_at"))
-    people = _t(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"))
-    as_of = F.lit("1998-01-31").cast("timestamp")
-    return search.replay(rel, people, as_of).select("side", "name", "provenance_name")
-
-
-@query("j5_all_replayed_relations", """WITH r AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
-SELECT side, CASE side WHEN 'subject' THEN 'Customer ' || c ELSE 'Clerk ' || p END AS name, 'Customer ' || c AS provenance_name FROM r CROSS JOIN (VALUES ('subject'), ('object')) v(side)""")
-def j5_all_replayed_relations(spark, sf):
     o = _t(spark, sf, "orders")
     subject, obj = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.concat(F.lit("Clerk "), "o_orderpriority")
     span = F.concat_ws(" ", subject, F.lit("met"), obj)
@@ -132,8 +120,8 @@ def _degrees(edges: DataFrame) -> DataFrame:
 @query("g9_staged_search")
 def g9_staged_search(spark, sf):
     """From the smallest customer toward the largest over the whole evidence graph; verdicts follow from the ids."""
-    edges = graph.add_edges(_all_evidence(spark, sf))
-    s = _all_seeds(spark, sf).first()
+    edges = graph.add_edges(_evidence(spark, sf))
+    s = _seeds(spark, sf).first()
     nodes = graph.neighbours(edges).select("node").distinct()
     h = F.pmod(F.crc32("node"), F.lit(3))
     verdicts = nodes.select("node", F.when(h == 0, "no").when(h == 1, "yes").otherwise("unknown").alias("answer"))
@@ -142,8 +130,8 @@ def g9_staged_search(spark, sf):
 
 @query("g8_bidirectional_search")
 def g8_bidirectional_search(spark, sf):
-    edges = graph.add_edges(_all_evidence(spark, sf))
-    s = _all_seeds(spark, sf).first()
+    edges = graph.add_edges(_evidence(spark, sf))
+    s = _seeds(spark, sf).first()
     return search.bidirectional_search(edges, _degrees(edges), f"c{s.a}", f"c{s.b}", 3, 2)[0]
 
 
@@ -157,16 +145,6 @@ def w9_enrichment_people(spark, sf):
     return search.enrichment_people(ta, tb, nodes).select("display_name", "dist")
 
 
-@query("w9_all_enrichment_people", f"""WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=3)}, {_BFS_SQL.format(seed=_ALL_SEED.replace('min', 'max'), depth=2).replace('bfs', 'bfs2')}, u AS (SELECT * FROM bfs UNION ALL SELECT * FROM bfs2)
-SELECT node AS display_name, min(dist)::INT AS dist FROM u GROUP BY node ORDER BY 2, 1 LIMIT 25""")
-def w9_all_enrichment_people(spark, sf):
-    edges, s = graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf)
-    ta = graph.traverse(edges, s.select(F.concat(F.lit("c"), "a").alias("node")), 3)
-    tb = graph.traverse(edges, s.select(F.concat(F.lit("c"), "b").alias("node")), 2)
-    nodes = graph.neighbours(edges).select(F.col("node").alias("node_id")).distinct().select("node_id", F.col("node_id").alias("display_name"), F.create_map().cast("map<string,array<string>>").alias("attributes"))
-    return search.enrichment_people(ta, tb, nodes).select("display_name", "dist")
-
-
 @query("w4_tier_numbers", "SELECT n_nationkey::BIGINT AS node, row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey)::INT AS number FROM nation")
 def w4_tier_numbers(spark, sf):
     n = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (-F.col("n_regionkey")).alias("parent_rank"), F.col("n_nationkey").alias("rank"))
@@ -261,11 +239,3 @@ def w3_level_frontier(spark, sf):
 
     at = graph.traverse(graph.add_edges(_evidence(spark, sf)), _seeds(spark, sf).select(F.concat(F.lit("c"), "a").alias("node")), 2).where("dist = 2").select("node")
     return rank_frontier(at.join(_scored(spark, sf), "node"), 12, True).select("node", "recurrence")
-
-
-@query("w3_all_level_frontier", f"WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=2)}, d AS (SELECT node, min(dist) AS d FROM bfs GROUP BY node), s AS (SELECT 'c' || o_custkey AS node, count(DISTINCT o_orderkey) AS recurrence FROM orders GROUP BY 1) SELECT node, recurrence::BIGINT AS recurrence FROM d JOIN s USING (node) WHERE d = 2 ORDER BY recurrence DESC, node LIMIT 12")
-def w3_all_level_frontier(spark, sf):
-    from hopweave.operators.tables import rank_frontier
-
-    at = graph.traverse(graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf).select(F.concat(F.lit("c"), "a").alias("node")), 2).where("dist = 2").select("node")
-    return rank_frontier(at.join(_scored(spark, sf), "node"), 12, True).select("node", "recurrence")

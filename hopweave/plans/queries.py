@@ -26,7 +26,6 @@ def _any(text: str, words) -> str:
 
 # --- names ---------------------------------------------------------------------------------------------------------
 PEOPLE = [(1, "Dr. Robert Vance Jr."), (2, "Bob Vance"), (3, "J. Smith"), (4, "John Smith"), (5, "Jane Smith"), (6, "Larry Ellison"), (7, "Lawrence Joseph Ellison"), (8, "Ludwig van Beethoven"), (9, "MARIA DE LA CRUZ"), (10, "Priya Raman"), (11, "Prof. Tom O'Neil"), (12, "Acme Ventures Inc"), (13, ""), (14, "Cher")]
-_PEOPLE_SQL = "people(id, name) AS (VALUES " + ", ".join("(%d, '%s')" % (i, n.replace("'", "''")) for i, n in PEOPLE) + ")"
 _TOKENS_SQL = """(SELECT id, name, list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9_\\s''-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: trim(t, '''')), lambda t: t <> '' AND t NOT IN (%s)) AS tok FROM %s)"""
 _TOK = _TOKENS_SQL % (_list(D.TITLES + D.SUFFIXES), "people")
 _KEYED = f"""keyed AS (SELECT *, coalesce(tok[1], '') AS g, coalesce(list_filter(tok, lambda t: t NOT IN ({_list(D.PARTICLES)}))[-1], '') AS s FROM {_TOK})"""
@@ -36,13 +35,19 @@ _SAME_SQL = """(a.tok = b.tok OR (a.s <> '' AND a.s = b.s AND (a.g = b.g OR ((le
 _FORMS_SQL = "forms AS (SELECT DISTINCT g, g AS form FROM keyed UNION SELECT g, n FROM keyed JOIN nick ON f = g UNION SELECT g, f FROM keyed JOIN nick ON n = g)"
 
 
-def _people(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PEOPLE, "id long, name string").withColumn("tok", N.tokens(F.col("name")))
+_ALL_PEOPLE_SQL = "people(id, name) AS (SELECT 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier UNION ALL VALUES " + ", ".join("('p%d', '%s')" % (i, n.replace("'", "''")) for i, n in PEOPLE) + ")"
 
 
-@query("p2_name_forms", f"WITH {_PEOPLE_SQL}, {_KEYED} SELECT id::BIGINT AS id, array_to_string(tok, ' ') AS norm_name, s AS surname, g AS given, CASE WHEN g <> '' AND s <> '' THEN g[1] || '|' || s ELSE array_to_string(tok, ' ') END AS name_key FROM keyed")
+def _all_names(spark, sf) -> DataFrame:
+    """The names of customers (c1), suppliers (s1) and, for their special cases, PEOPLE (p1)."""
+    of = lambda t, k, n, x: _t(spark, sf, t).select(F.concat(F.lit(x), k).alias("id"), F.col(n).alias("name"))
+    people = spark.createDataFrame(PEOPLE, "id long, name string").select(F.concat(F.lit("p"), "id").alias("id"), "name")
+    return of("customer", "c_custkey", "c_name", "c").union(of("supplier", "s_suppkey", "s_name", "s")).union(people).withColumn("tok", N.tokens(F.col("name")))
+
+
+@query("p2_name_forms", f"WITH {_ALL_PEOPLE_SQL}, {_KEYED} SELECT id, array_to_string(tok, ' ') AS norm_name, s AS surname, g AS given, CASE WHEN g <> '' AND s <> '' THEN g[1] || '|' || s ELSE array_to_string(tok, ' ') END AS name_key FROM keyed")
 def p2_name_forms(spark, sf):
-    return _people(spark).select("id", N.normalize_name(F.col("tok")).alias("norm_name"), N.surname(F.col("tok")).alias("surname"), N.given(F.col("tok")).alias("given"), N.name_key(F.col("tok")).alias("name_key"))
+    return _all_names(spark, sf).select("id", N.normalize_name(F.col("tok")).alias("norm_name"), N.surname(F.col("tok")).alias("surname"), N.given(F.col("tok")).alias("given"), N.name_key(F.col("tok")).alias("name_key"))
 
 
 _TABLE_NAMES = "WITH people(id, name) AS (SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier), " + _KEYED
@@ -55,15 +60,15 @@ def p6_table_name_keys(spark, sf):
     return rows.select("id", N.normalize_name(tok).alias("norm_name"), N.name_key(tok).alias("name_key"))
 
 
-@query("p8_same_name_pairs", f"WITH {_PEOPLE_SQL}, {_NICK_SQL}, {_KEYED}, {_FORMS_SQL} SELECT a.id::BIGINT AS left_id, b.id::BIGINT AS right_id FROM keyed a, keyed b WHERE a.id < b.id AND len(a.tok) > 0 AND len(b.tok) > 0 AND {_SAME_SQL}")
+@query("p8_same_name_pairs", f"WITH {_ALL_PEOPLE_SQL}, {_NICK_SQL}, {_KEYED}, {_FORMS_SQL} SELECT a.id AS left_id, b.id AS right_id FROM keyed a JOIN keyed b ON a.s = b.s AND a.id < b.id WHERE len(a.tok) > 0 AND len(b.tok) > 0 AND {_SAME_SQL}")
 def p8_same_name_pairs(spark, sf):
-    p = _people(spark).withColumn("s", N.surname(F.col("tok")))
+    p = _all_names(spark, sf).withColumn("s", N.surname(F.col("tok")))
     r = p.select(F.col("id").alias("right_id"), F.col("tok").alias("tok2"), "s")
     return p.join(r, "s").where("id < right_id").where(N.could_be_same_name(F.col("tok"), F.col("tok2"))).select(F.col("id").alias("left_id"), "right_id")
 
 
-_MATCH_SQL = f"""WITH {_PEOPLE_SQL}, {_NICK_SQL}, {_KEYED}, {_FORMS_SQL},
-names AS (SELECT * FROM keyed WHERE id IN (2, 3, 6, 10, 14)), contacts AS (SELECT * FROM keyed WHERE id IN (1, 4, 5, 7, 10)),
+_MATCH_SQL = f"""WITH {_ALL_PEOPLE_SQL}, {_NICK_SQL}, {_KEYED}, {_FORMS_SQL},
+names AS (SELECT * FROM keyed), contacts AS (SELECT * FROM keyed WHERE id LIKE 'c%' OR id IN ('p1', 'p4', 'p5', 'p7', 'p10')),
 e AS (SELECT a.id, min(b.name) AS exact FROM names a JOIN contacts b ON a.tok = b.tok GROUP BY a.id),
 z AS (SELECT a.id, count(*) AS n, min(b.name) AS one FROM names a JOIN contacts b ON a.s = b.s AND a.s <> '' WHERE {_SAME_SQL} GROUP BY a.id)
 SELECT name, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'possible' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status,
@@ -73,38 +78,27 @@ FROM names LEFT JOIN e USING (id) LEFT JOIN z USING (id)"""
 
 @query("j1_j2_roster_match", _MATCH_SQL)
 def j1_j2_roster_match(spark, sf):
-    p = _people(spark)
-    contacts = p.where("id in (1, 4, 5, 7, 10)").select("name", N.normalize_name(F.col("tok")).alias("norm_name"))
-    return tables.match_names(p.where("id in (2, 3, 6, 10, 14)").select("name"), contacts)
-
-
-def _all_names(spark, sf) -> DataFrame:
-    """The names of customers (c1), suppliers (s1) and, for their special cases, PEOPLE (p1)."""
-    of = lambda t, k, n, x: _t(spark, sf, t).select(F.concat(F.lit(x), k).alias("id"), F.col(n).alias("name"))
-    people = spark.createDataFrame(PEOPLE, "id long, name string").select(F.concat(F.lit("p"), "id").alias("id"), "name")
-    return of("customer", "c_custkey", "c_name", "c").union(of("supplier", "s_suppkey", "s_name", "s")).union(people).withColumn("tok", N.tokens(F.col("name")))
-
-
-@query("p8_all_same_name_pairs")
-def p8_all_same_name_pairs(spark, sf):
-    p = _all_names(spark, sf).withColumn("s", N.surname(F.col("tok")))
-    r = p.select(F.col("id").alias("right_id"), F.col("tok").alias("tok2"), "s")
-    return p.join(r, "s").where("id < right_id").where(N.could_be_same_name(F.col("tok"), F.col("tok2"))).select(F.col("id").alias("left_id"), "right_id")
-
-
-@query("j1_j2_all_roster_match")
-def j1_j2_all_roster_match(spark, sf):
     """All customers, suppliers and people against a roster of the customers and five people."""
     p = _all_names(spark, sf)
     contacts = p.where("id like 'c%' or id in ('p1', 'p4', 'p5', 'p7', 'p10')").select("name", N.normalize_name(F.col("tok")).alias("norm_name"))
     return tables.match_names(p.select("name"), contacts)
 
 
-@query("f14_canonical_urls")
+_NUMBER = "regexp_extract(c_name, '[0-9]+')"
+
+
+@query("f14_canonical_urls", f"""WITH c AS (SELECT c_custkey, {_NUMBER} AS n, lower(c_mktsegment) AS host, CASE c_custkey % 5 WHEN 0 THEN '/people/customer-' || {_NUMBER} WHEN 1 THEN '/about' WHEN 2 THEN '/c' || {_NUMBER} WHEN 3 THEN '/c/' || {_NUMBER} ELSE '/team' END AS path FROM customer),
+u AS (SELECT *, CASE WHEN c_custkey % 5 = 1 THEN 'c-' || n || '.' || host ELSE host END || '.com' AS site, [ 'customer-' || n, 'customer' || n, 'c-' || n, 'c' || n ] AS slugs FROM c)
+SELECT c_custkey::BIGINT AS id, len(list_filter(slugs, lambda s: contains(path, s) OR contains(regexp_replace(site, '[.-]', '', 'g'), replace(s, '-', '')))) > 0 AS canonical, array_to_string(list_sort(slugs), ' ') AS slugs,
+'c ' || n || '|' || 'customer ' || n AS variants FROM u""")
 def f14_canonical_urls(spark, sf):
-    urls = ["https://priyaraman.com/about", "https://acme.org/people/priya-raman", "https://example.com/p-raman", "https://acme.org/team"]
-    tok = N.tokens(F.lit("Priya Raman"))
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", N.looks_canonical_for(F.col("url"), tok).alias("canonical"), N.variants(tok).alias("variants"), N.slugs(tok).alias("slugs"))
+    """A page of each customer, on a site of its segment or its own, against the spellings of its name."""
+    c = _t(spark, sf, "customer")
+    k, n, tok = F.col("c_custkey"), F.regexp_extract("c_name", "[0-9]+", 0), N.tokens(F.col("c_name"))
+    path = F.when(k % 5 == 0, F.concat(F.lit("/people/customer-"), n)).when(k % 5 == 1, "/about").when(k % 5 == 2, F.concat(F.lit("/c"), n)).when(k % 5 == 3, F.concat(F.lit("/c/"), n)).otherwise("/team")
+    site = F.concat(F.when(k % 5 == 1, F.concat(F.lit("c-"), n, F.lit("."))).otherwise(""), F.lower("c_mktsegment"), F.lit(".com"))
+    url = F.concat(F.lit("https://"), site, path)
+    return c.select(k.cast("long").alias("id"), N.looks_canonical_for(url, tok).alias("canonical"), F.array_join(N.slugs(tok), " ").alias("slugs"), F.array_join(N.variants(tok), "|").alias("variants"))
 
 
 # --- pages and texts -----------------------------------------------------------------------------------------------
@@ -210,75 +204,81 @@ def p11_attribute_buckets(spark, sf):
 
 
 def _customers(spark, sf) -> DataFrame:
-    """Observations of people: customers whose name key is made to collide, employer the segment, institution the nation."""
+    """Observations of people: customers whose name key is made to collide, employer the segment, institution the nation; some have a page of their own, a search behind them, a neighbour's organisations, or no attributes."""
     c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, strings = F.col("c_custkey"), "array<string>"
     attrs = F.create_map(F.lit("employer"), F.array("c_mktsegment"), F.lit("institution"), F.array("n_name"))
-    block = (F.col("c_custkey") % 97).cast("string")
-    return c.select(F.col("c_custkey").cast("long").alias("obs_id"), F.concat(F.lit("Pat Vance"), block).alias("name"), F.concat(F.lit("https://x.org/"), (F.col("c_custkey") % 389).cast("string")).alias("url"), attrs.alias("attributes"), F.array().cast("array<string>").alias("canonical_urls"), F.lit(None).cast("string").alias("provenance_name"))
-
-
-_OVER = "(%s = %s OR (length(%s) > 3 AND length(%s) > 3 AND (contains(%s, %s) OR contains(%s, %s))))"
-_EMP = _OVER % (("lower(a.e)", "lower(b.e)") + ("a.e", "b.e") + ("lower(a.e)", "lower(b.e)", "lower(b.e)", "lower(a.e)"))
-_NAT = _OVER % (("a.n", "b.n") + ("a.n", "b.n") + ("a.n", "b.n", "b.n", "a.n"))
-_OBS_SQL = "o AS (SELECT c_custkey AS id, c_custkey % 97 AS block, c_custkey % 389 AS url, c_mktsegment AS e, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS n, count(DISTINCT c_mktsegment) OVER (PARTITION BY c_custkey % 97) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)"
-_LADDER_SQL = f"""{_OBS_SQL}, d AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN NOT {_EMP} OR NOT {_NAT} THEN 'conflicting_attributes' WHEN a.url = b.url THEN 'single_referent_co_occurrence' WHEN a.k >= 3 THEN 'name_too_common' ELSE 'rare_name_attributes' END AS basis
-FROM o a JOIN o b ON a.block = b.block AND a.id < b.id)"""
-
-
-@query("i2_merge_ladder", f"WITH {_LADDER_SQL} SELECT left_id::BIGINT AS left_id, right_id::BIGINT AS right_id, basis, basis IN ('single_referent_co_occurrence', 'rare_name_attributes') AS allowed FROM d")
+    name = F.concat(F.lit("Pat Vance"), (key % 97).cast("string"))
+    every = lambda k, x, kind: F.when(key % k == 0, x).otherwise(F.lit(None)).cast(kind)
+    return c.select(
+        key.cast("long").alias("obs_id"), name.alias("name"), F.concat(F.lit("https://x.org/"), (key % 389).cast("string")).alias("url"),
+        F.when(key % 13 != 0, attrs).otherwise(F.map_from_arrays(F.array().cast(strings), F.array().cast("array<array<string>>"))).alias("attributes"),
+        F.coalesce(every(7, F.array(F.concat(F.lit("https://own.org/"), (key % 21).cast("string"))), strings), F.array().cast(strings)).alias("canonical_urls"),
+        every(17, name, "string").alias("provenance_name"), F.coalesce(every(11, F.array("c_mktsegment"), strings), F.array().cast(strings)).alias("neighbour_orgs"),
+    )
+
+
+_NEAR = "({0} = {1} OR (length({0}) > 3 AND length({1}) > 3 AND (contains({0}, {1}) OR contains({1}, {0}))))"
+_AGAINST = "({0}.e IS NOT NULL AND {1}.e IS NOT NULL AND (NOT " + _NEAR.format("{0}.e", "{1}.e") + " OR NOT " + _NEAR.format("{0}.n", "{1}.n") + "))"
+_LADDER_SQL = f"""o AS (SELECT c_custkey AS id, c_custkey % 97 AS block, c_custkey % 389 AS url, CASE WHEN c_custkey % 13 <> 0 THEN lower(c_mktsegment) END AS e, CASE WHEN c_custkey % 13 <> 0 THEN lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) END AS n,
+CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 21 END AS canon, c_custkey % 17 = 0 AS prov, CASE WHEN c_custkey % 11 = 0 THEN lower(c_mktsegment) END AS org FROM customer JOIN nation ON c_nationkey = n_nationkey),
+seen AS (SELECT block, list([struct_pack(e := e, n := n)] ORDER BY id) AS sets FROM o GROUP BY block),
+readings AS (SELECT block, len(list_reduce(list_slice(sets, 2, len(sets)), lambda kept, x: CASE WHEN len(list_filter(kept, lambda c: NOT coalesce({_AGAINST.format('c', 'x[1]')}, false))) = 0 THEN list_concat(kept, x) ELSE kept END, sets[1])) AS k FROM seen),
+d AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN coalesce(a.canon = b.canon, false) THEN 'same_canonical_url' WHEN coalesce({_AGAINST.format('a', 'b')}, false) THEN 'conflicting_attributes' WHEN a.url = b.url THEN 'single_referent_co_occurrence' WHEN b.prov THEN 'search_provenance'
+WHEN a.e IS NULL OR b.e IS NULL THEN 'name_string_only' WHEN a.org IS NOT NULL AND ({_NEAR.format('a.org', 'b.e')} OR {_NEAR.format('a.org', 'b.n')}) THEN 'attributes_plus_shared_neighbor' WHEN k >= 3 THEN 'name_too_common' ELSE 'rare_name_attributes' END AS basis
+FROM o a JOIN o b ON a.block = b.block AND a.id < b.id JOIN readings ON readings.block = a.block)"""
+_ALLOWED_SQL = "('same_canonical_url', 'single_referent_co_occurrence', 'search_provenance', 'attributes_plus_shared_neighbor', 'rare_name_attributes')"
+
+
+@query("i2_merge_ladder", f"WITH {_LADDER_SQL} SELECT left_id::BIGINT AS left_id, right_id::BIGINT AS right_id, basis, basis IN {_ALLOWED_SQL} AS allowed FROM d")
 def i2_merge_ladder(spark, sf):
     return resolve.decisions(_customers(spark, sf))
 
 
-@query("i1_resolved_nodes", f"""WITH RECURSIVE {_LADDER_SQL}, l AS (SELECT left_id AS x, right_id AS y FROM d WHERE basis IN ('single_referent_co_occurrence', 'rare_name_attributes') UNION SELECT right_id, left_id FROM d WHERE basis IN ('single_referent_co_occurrence', 'rare_name_attributes')),
+@query("i1_resolved_nodes", f"""WITH RECURSIVE {_LADDER_SQL}, l AS (SELECT left_id AS x, right_id AS y FROM d WHERE basis IN {_ALLOWED_SQL} UNION SELECT right_id, left_id FROM d WHERE basis IN {_ALLOWED_SQL}),
 r AS (SELECT id AS x, id AS c FROM o UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x) SELECT x::BIGINT AS obs_id, min(c)::BIGINT AS node_id FROM r GROUP BY x""")
 def i1_resolved_nodes(spark, sf):
     return resolve.resolve(_customers(spark, sf))
 
 
-@query("a2_node_attributes")
+_NODES_SQL = f"""WITH RECURSIVE {_LADDER_SQL}, l AS (SELECT left_id AS x, right_id AS y FROM d WHERE basis IN {_ALLOWED_SQL} UNION SELECT right_id, left_id FROM d WHERE basis IN {_ALLOWED_SQL}),
+r AS (SELECT id AS x, id AS c FROM o UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x), node AS (SELECT x, min(c) AS node_id FROM r GROUP BY x)"""
+
+
+@query("a2_node_attributes", _NODES_SQL + """
+SELECT node_id::BIGINT AS node_id, 'Pat Vance' || (node_id % 97) AS display_name, count(DISTINCT url)::BIGINT AS recurrence, coalesce(array_to_string(list_sort(list(DISTINCT c_mktsegment) FILTER (e IS NOT NULL)), '|'), '') AS employers,
+coalesce(array_to_string(list_sort(list(DISTINCT n_name) FILTER (e IS NOT NULL)), '|'), '') AS institutions, coalesce(array_to_string(list_sort(list(DISTINCT 'https://own.org/' || canon) FILTER (canon IS NOT NULL)), '|'), '') AS canonical
+FROM node JOIN o ON o.id = x JOIN customer ON c_custkey = x JOIN nation ON n_nationkey = c_nationkey GROUP BY node_id""")
 def a2_node_attributes(spark, sf):
     obs = _customers(spark, sf)
     n = resolve.nodes(obs, resolve.resolve(obs))
-    return n.select("node_id", "display_name", "recurrence", F.to_json("attributes").alias("attributes"))
+    joined = lambda k: F.array_join(F.coalesce(F.try_element_at("attributes", F.lit(k)), F.array().cast("array<string>")), "|")
+    return n.select("node_id", "display_name", "recurrence", joined("employer").alias("employers"), joined("institution").alias("institutions"), F.array_join("canonical_urls", "|").alias("canonical"))
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
-_EDGE_SQL = "e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'F'), n AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e)"
-_SEED = "(SELECT min(o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'F')"
-
-
-def _evidence(spark, sf) -> DataFrame:
-    o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
-    both = l.where("l_linenumber = 1").join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select(F.col("l_orderkey").cast("long").alias("edge_id"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.concat(F.lit("https://orders.example/"), "l_orderkey").alias("source_url"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"))
-
-
-def _seeds(spark, sf) -> DataFrame:
-    o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
-    both = l.where("l_linenumber = 1").join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"))
-
-
-_ALL_EDGE_SQL = "e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e)"
-_ALL_SEED = "(SELECT min(o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+_EDGE_SQL = "e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e)"
+_SEED = "(SELECT min(o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
 def _lines(spark, sf) -> DataFrame:
     return _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def _all_evidence(spark, sf) -> DataFrame:
+def _evidence(spark, sf) -> DataFrame:
     """Every line of every order: an order is a page, a line its span. Line numbers repeat within an order, so edge ids hold both ends too."""
     n = F.col("l_linenumber").cast("int")
     return _lines(spark, sf).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "o_custkey", "l_suppkey").alias("edge_id"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.concat(F.lit("https://orders.example/"), "l_orderkey").alias("source_url"), n.alias("span_start"), (n + 1).alias("span_end"))
 
 
-def _all_seeds(spark, sf) -> DataFrame:
+def _seeds(spark, sf) -> DataFrame:
     return _lines(spark, sf).agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"))
 
 
-@query("g3_edges", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey)::BIGINT AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'F' GROUP BY 1, 2")
+_BFS_SQL = "bfs(node, dist) AS (SELECT 'c' || {seed}, 0 UNION SELECT n.y, dist + 1 FROM bfs JOIN n ON n.x = bfs.node WHERE dist < {depth})"
+
+
+@query("g3_edges", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey || '-' || l_linenumber)::BIGINT AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def g3_edges(spark, sf):
     return graph.add_edges(_evidence(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("evidence"))
 
@@ -288,9 +288,6 @@ def g6_degrees(spark, sf):
     return graph.neighbours(graph.add_edges(_evidence(spark, sf))).groupBy("node").agg(F.countDistinct("neighbour").alias("degree"))
 
 
-_BFS_SQL = "bfs(node, dist) AS (SELECT 'c' || {seed}, 0 UNION SELECT n.y, dist + 1 FROM bfs JOIN n ON n.x = bfs.node WHERE dist < {depth})"
-
-
 @query("g7_bfs_distances", f"WITH RECURSIVE {_EDGE_SQL}, {_BFS_SQL.format(seed=_SEED, depth=4)} SELECT node, min(dist)::INT AS dist FROM bfs GROUP BY node")
 def g7_bfs_distances(spark, sf):
     seeds = _seeds(spark, sf).select(F.concat(F.lit("c"), "a").alias("node"))
@@ -307,35 +304,9 @@ def j10_meeting_points(spark, sf):
     return ta.select("node", F.col("dist").alias("da")).join(tb.select("node", F.col("dist").alias("db")), "node")
 
 
-@query("g3_all_edges", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey || '-' || l_linenumber)::BIGINT AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
-def g3_all_edges(spark, sf):
-    return graph.add_edges(_all_evidence(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("evidence"))
-
-
-@query("g6_all_degrees", f"WITH {_ALL_EDGE_SQL} SELECT x AS node, count(DISTINCT y)::BIGINT AS degree FROM n GROUP BY x")
-def g6_all_degrees(spark, sf):
-    return graph.neighbours(graph.add_edges(_all_evidence(spark, sf))).groupBy("node").agg(F.countDistinct("neighbour").alias("degree"))
-
-
-@query("g7_all_bfs_distances", f"WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=4)} SELECT node, min(dist)::INT AS dist FROM bfs GROUP BY node")
-def g7_all_bfs_distances(spark, sf):
-    seeds = _all_seeds(spark, sf).select(F.concat(F.lit("c"), "a").alias("node"))
-    return graph.traverse(graph.add_edges(_all_evidence(spark, sf)), seeds, 4).select("node", "dist")
-
-
-@query("j10_all_meeting_points", f"""WITH RECURSIVE {_ALL_EDGE_SQL}, {_BFS_SQL.format(seed=_ALL_SEED, depth=4)}, {_BFS_SQL.format(seed=_ALL_SEED.replace('min', 'max'), depth=3).replace('bfs', 'bfs2')},
-a AS (SELECT node, min(dist) AS d FROM bfs GROUP BY node), b AS (SELECT node, min(dist) AS d FROM bfs2 GROUP BY node)
-SELECT node, a.d::INT AS da, b.d::INT AS db FROM a JOIN b USING (node)""")
-def j10_all_meeting_points(spark, sf):
-    edges, s = graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf)
-    ta = graph.traverse(edges, s.select(F.concat(F.lit("c"), "a").alias("node")), 4)
-    tb = graph.traverse(edges, s.select(F.concat(F.lit("c"), "b").alias("node")), 3)
-    return ta.select("node", F.col("dist").alias("da")).join(tb.select("node", F.col("dist").alias("db")), "node")
-
-
 @query("g11_paths")
 def g11_paths(spark, sf):
-    edges, s = graph.add_edges(_all_evidence(spark, sf)), _all_seeds(spark, sf)
+    edges, s = graph.add_edges(_evidence(spark, sf)), _seeds(spark, sf)
     ta = graph.traverse(edges, s.select(F.concat(F.lit("c"), "a").alias("node")), 4)
     tb = graph.traverse(edges, s.select(F.concat(F.lit("c"), "b").alias("node")), 3)
     return graph.meet(ta, tb)
