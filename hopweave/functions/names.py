@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -57,15 +58,21 @@ def name_key(toks: Column) -> Column:
     return F.when((g != "") & (s != ""), F.concat(F.substring(g, 1, 1), F.lit("|"), s)).otherwise(normalize_name(toks))
 
 
-def given_forms(g: Column) -> Column:
-    """g with its short and formal forms."""
+@functools.cache
+def _forms_maps() -> tuple[str, str]:
+    """SQL maps from a formal given name to its short forms, and back; one string each, as hundreds of literals take long to build one by one."""
     back: dict[str, list[str]] = {}
     for formal, nicks in D.NICKNAMES.items():
         for n in nicks.split():
             back.setdefault(n, []).append(formal)
-    down = F.create_map(*[F.lit(x) for f, n in D.NICKNAMES.items() for x in (f, n)])
-    up = F.create_map(*[F.lit(x) for n, f in back.items() for x in (n, " ".join(f))])
-    more = lambda m: F.split(F.coalesce(F.try_element_at(m, g), F.lit("")), " ")
+    text = lambda m: "map(" + ", ".join(f"'{k}', '{v}'" for k, v in m.items()) + ")"
+    return text(D.NICKNAMES), text({n: " ".join(f) for n, f in back.items()})
+
+
+def given_forms(g: Column) -> Column:
+    """g with its short and formal forms."""
+    more = lambda m: F.split(F.coalesce(F.try_element_at(F.expr(m), g), F.lit("")), " ")
+    down, up = _forms_maps()
     return F.array_distinct(F.filter(F.concat(F.array(g), more(down), more(up)), lambda x: x != ""))
 
 
@@ -76,9 +83,9 @@ def could_be_same_name(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((a == b) | ((sa != "") & (sa == sb) & same_given))
 
 
-def prepared(toks: Column) -> Column:
-    """What could_be_same_name looks at, once a row."""
-    return F.struct(toks.alias("tok"), given(toks).alias("given"), surname(toks).alias("surname"), given_forms(given(toks)).alias("forms"))
+def prepared(toks: Column, g: Column, s: Column) -> Column:
+    """What could_be_same_name looks at, once a row: the tokens, given name and surname of a name, and the given name's forms."""
+    return F.struct(toks.alias("tok"), g.alias("given"), s.alias("surname"), given_forms(g).alias("forms"))
 
 
 def prepared_same_name(a: Column, b: Column) -> Column:

@@ -55,7 +55,11 @@ def decisions(obs: DataFrame, block: Column | None = None, threshold: int = 3, v
     """
     toks = N.tokens(F.col("name"))
     orgs = F.col("neighbour_orgs") if "neighbour_orgs" in obs.columns else F.array().cast("array<string>")
-    own = obs.select("obs_id", (block if block is not None else N.name_key(toks)).alias("block"), N.prepared(toks).alias("n"), "url", A.prepared(F.col("attributes")).alias("p"), F.col("canonical_urls").alias("canon"), N.prepared(N.tokens(F.col("provenance_name"))).alias("prov"), A.compacts(orgs).alias("orgs")).where("block <> ''")
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Names and attributes take long to prepare: rows are spread first, whatever files they come in.
+    own = obs.repartition(tasks, "obs_id").select("obs_id", "url", toks.alias("_t"), N.tokens(F.col("provenance_name")).alias("_pt"), A.prepared(F.col("attributes")).alias("p"), F.col("canonical_urls").alias("canon"), A.compacts(orgs).alias("orgs"), (block if block is not None else F.lit(None).cast("string")).alias("_b"))
+    own = own.withColumns({"_g": N.given(F.col("_t")), "_s": N.surname(F.col("_t")), "_pg": N.given(F.col("_pt")), "_ps": N.surname(F.col("_pt"))})
+    own = own.withColumns({"n": N.prepared(F.col("_t"), F.col("_g"), F.col("_s")), "prov": N.prepared(F.col("_pt"), F.col("_pg"), F.col("_ps")), "block": F.coalesce("_b", N.name_key(F.col("_t")))}).select("obs_id", "block", "n", "url", "p", "canon", "prov", "orgs").where("block <> ''")
     own = materialize(own, "observations")  # read for both sides and for the readings of a name
     # A name with many rows is dealt in parts of PART on the left, with all its rows on the right of each, so that no task has all pairs of a hot name.
     parts = own.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
@@ -63,7 +67,6 @@ def decisions(obs: DataFrame, block: Column | None = None, threshold: int = 3, v
     left = dealt.withColumn("part", F.pmod(F.xxhash64("obs_id"), F.col("parts"))).select("block", "part", F.struct("obs_id", "n", "url", "p", "canon", "orgs").alias("l"))
     right = dealt.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("block", "part", F.struct("obs_id", "n", "url", "p", "canon", "prov").alias("r"))
     # Few bytes make many pairs: the number of tasks is that of the setting, not one by the size of the rows.
-    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.repartition(tasks, "block", "part").join(right.repartition(tasks, "block", "part").hint("merge"), ["block", "part"]).where("l.obs_id < r.obs_id").where(N.prepared_same_name(F.col("l.n"), F.col("r.n"))).join(clusters(own, threshold), "block")
     said = F.lit(None).cast("string")
     if verdicts is not None:
