@@ -204,7 +204,15 @@ def p11_attribute_buckets(spark, sf):
 
 
 def _customers(spark, sf) -> DataFrame:
-    """Observations of people: customers whose name key is made to collide, employer the segment, institution the nation; some have a page of their own, a search behind them, a neighbour's organisations, or no attributes."""
+    """Observations of people: customers whose name key is made to collide, employer the segment, institution the nation."""
+    c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    attrs = F.create_map(F.lit("employer"), F.array("c_mktsegment"), F.lit("institution"), F.array("n_name"))
+    block = (F.col("c_custkey") % 97).cast("string")
+    return c.select(F.col("c_custkey").cast("long").alias("obs_id"), F.concat(F.lit("Pat Vance"), block).alias("name"), F.concat(F.lit("https://x.org/"), (F.col("c_custkey") % 389).cast("string")).alias("url"), attrs.alias("attributes"), F.array().cast("array<string>").alias("canonical_urls"), F.lit(None).cast("string").alias("provenance_name"))
+
+
+def _observations(spark, sf) -> DataFrame:
+    """As _customers; some have a page of their own, a search behind them, a neighbour's organisations, or no attributes."""
     c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key, strings = F.col("c_custkey"), "array<string>"
     attrs = F.create_map(F.lit("employer"), F.array("c_mktsegment"), F.lit("institution"), F.array("n_name"))
@@ -232,13 +240,13 @@ _ALLOWED_SQL = "('same_canonical_url', 'single_referent_co_occurrence', 'search_
 
 @query("i2_merge_ladder", f"WITH {_LADDER_SQL} SELECT left_id::BIGINT AS left_id, right_id::BIGINT AS right_id, basis, basis IN {_ALLOWED_SQL} AS allowed FROM d")
 def i2_merge_ladder(spark, sf):
-    return resolve.decisions(_customers(spark, sf))
+    return resolve.decisions(_observations(spark, sf))
 
 
 @query("i1_resolved_nodes", f"""WITH RECURSIVE {_LADDER_SQL}, l AS (SELECT left_id AS x, right_id AS y FROM d WHERE basis IN {_ALLOWED_SQL} UNION SELECT right_id, left_id FROM d WHERE basis IN {_ALLOWED_SQL}),
 r AS (SELECT id AS x, id AS c FROM o UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x) SELECT x::BIGINT AS obs_id, min(c)::BIGINT AS node_id FROM r GROUP BY x""")
 def i1_resolved_nodes(spark, sf):
-    return resolve.resolve(_customers(spark, sf))
+    return resolve.resolve(_observations(spark, sf))
 
 
 _NODES_SQL = f"""WITH RECURSIVE {_LADDER_SQL}, l AS (SELECT left_id AS x, right_id AS y FROM d WHERE basis IN {_ALLOWED_SQL} UNION SELECT right_id, left_id FROM d WHERE basis IN {_ALLOWED_SQL}),
@@ -250,7 +258,7 @@ SELECT node_id::BIGINT AS node_id, 'Pat Vance' || (node_id % 97) AS display_name
 coalesce(array_to_string(list_sort(list(DISTINCT n_name) FILTER (e IS NOT NULL)), '|'), '') AS institutions, coalesce(array_to_string(list_sort(list(DISTINCT 'https://own.org/' || canon) FILTER (canon IS NOT NULL)), '|'), '') AS canonical
 FROM node JOIN o ON o.id = x JOIN customer ON c_custkey = x JOIN nation ON n_nationkey = c_nationkey GROUP BY node_id""")
 def a2_node_attributes(spark, sf):
-    obs = _customers(spark, sf)
+    obs = _observations(spark, sf)
     n = resolve.nodes(obs, resolve.resolve(obs))
     joined = lambda k: F.array_join(F.coalesce(F.try_element_at("attributes", F.lit(k)), F.array().cast("array<string>")), "|")
     return n.select("node_id", "display_name", "recurrence", joined("employer").alias("employers"), joined("institution").alias("institutions"), F.array_join("canonical_urls", "|").alias("canonical"))
