@@ -16,32 +16,55 @@ from hopweave.functions import names as N
 from hopweave.functions import text as T
 
 _BOUNDARY = re.compile(r"([.!?]['\"’”)\]]*)([ \t]+)|(\n+)")
-_SKIPPED, _BREAKS = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}, {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "blockquote"}
+_RAW, _FURNITURE = {"script", "style", "noscript", "template"}, {"nav", "header", "footer", "aside", "form"}
+_BREAKS = {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "blockquote"}
+#: A page with less text than this outside its furniture is read with the furniture (fixed value).
+LEAST_TEXT = 250
 
 
 class _Text(HTMLParser):
+    """Furniture goes where it is closed: an element that is never closed takes nothing with it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts, self.title, self.skip, self.in_title = [], [], 0, False
+        self.parts, self.title, self.raw, self.in_title = [], [], None, False
+        self.open, self.gone = [], []  # furniture that is open: (tag, its first part); closed: (first part, end)
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in _SKIPPED
+        if self.raw is None and tag in _RAW:
+            self.raw = tag
         self.in_title = tag == "title"
+        if tag in _FURNITURE and not self.raw:
+            self.open.append((tag, len(self.parts)))
         if tag in _BREAKS:
             self.parts.append("\n")
 
     def handle_endtag(self, tag):
-        self.skip -= tag in _SKIPPED and self.skip > 0
+        if tag == self.raw:
+            self.raw = None
         self.in_title = False
+        at = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
+        if at is not None and not self.raw:
+            self.gone.append((self.open[at][1], len(self.parts)))
+            del self.open[at:]
         if tag in _BREAKS:
             self.parts.append("\n")
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.skip:
+        elif not self.raw:
             self.parts.append(data)
 
+    def text(self) -> str:
+        """The text outside furniture; all of it if that is too little and there is more."""
+        kept, at = [], 0
+        for a, b in sorted(self.gone):
+            kept += self.parts[at:a]
+            at = max(at, b)
+        main, whole = "".join(kept + self.parts[at:]), "".join(self.parts)
+        return whole if len(main.strip()) < LEAST_TEXT and len(whole.strip()) > len(main.strip()) else main
+
 
 _PAGE = T_.StructType([T_.StructField("title", T_.StringType()), T_.StructField("text", T_.StringType())])
 _SENTENCES = T_.ArrayType(T_.StructType([*(T_.StructField(c, T_.IntegerType()) for c in ("index", "start", "end")), T_.StructField("text", T_.StringType())]))
@@ -49,13 +72,13 @@ _SENTENCES = T_.ArrayType(T_.StructType([*(T_.StructField(c, T_.IntegerType()) f
 
 @F.pandas_udf(_PAGE)
 def html_to_text(html: pd.Series) -> pd.DataFrame:
-    """Main text (script, style and page furniture left out) and title; text is not normalized yet."""
+    """Main text (script, style and page furniture left out, furniture only where enough text is left) and title; text is not normalized yet."""
     out = []
     for h in html:
         p = _Text()
         p.feed(h or "")
         p.close()
-        out.append((" ".join("".join(p.title).split()) or None, "".join(p.parts)))
+        out.append((" ".join("".join(p.title).split()) or None, p.text()))
     return pd.DataFrame(out, columns=["title", "text"])
 
 

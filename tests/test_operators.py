@@ -28,6 +28,23 @@ def test_sentence_boundaries():
     assert len(parse.split_sentences("J.R.R. Tolkien wrote it.")) == 2
 
 
+def test_furniture_goes_where_it_is_closed(spark):
+    body = "<p>" + "Some words of the page. " * 20 + "</p>"
+    cases = {
+        f"<title>A  b</title><nav>menu</nav>{body}<footer><form>mail</form> foot</footer>": (False, "A b"),
+        f"<nav>menu<ul><li>one</ul>{body}": (True, None),  # never closed
+        f"<header>top<nav>menu</nav>{body}": (False, None),
+        f"<form>menu{body}</form>": (True, None),  # nothing is left outside
+        f"<aside><script>if (a) menu()</script></aside>{body}<script>menu": (False, None),
+        f"{body}</nav><nav>me<nav>n</nav>u</nav>": (False, None),
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*cases, None, ""])], "i long, html string").coalesce(1)
+    rows = [r.p for r in df.select("i", parse.html_to_text("html").alias("p")).orderBy("i").collect()]
+    for r, (html, (menu, title)) in zip(rows, cases.items()):
+        assert ("menu" in r.text, r.title, r.text.count("Some words")) == (menu, title, 20), html
+    assert [r.text for r in rows[-2:]] == ["", ""] and "mail" not in rows[0].text and "foot" not in rows[0].text
+
+
 def test_route_and_page_gates(spark):
     pages = spark.createDataFrame([(i, u, t) for i, u, t in PAGES], "page_id long, url string, html string")
     docs = {r.page_id: r.skip_reason for r in parse.documents(pages).collect()}
