@@ -48,17 +48,31 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+#: Bytes of rows that a worker passes between two times that it gives memory back.
+PASSED = 8 << 20
+_passed = 0
+
+
 def trimmed(run):
-    """run, a task's function over Arrow batches, with memory given back to the system when the task ends: workers are reused."""
+    """run, a task's function over Arrow batches, with memory given back to the system when a task ends: workers are reused. Tasks of few rows add up to PASSED before."""
+
+    def counted(batches):
+        global _passed
+        for batch in batches:
+            _passed += batch.nbytes
+            yield batch
 
     def wrapped(batches):
+        global _passed
         try:
-            yield from run(batches)
+            yield from counted(run(counted(batches)))
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            if _passed >= PASSED:
+                _passed = 0
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     return wrapped
 

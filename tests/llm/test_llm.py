@@ -402,6 +402,17 @@ def test_rounds_go_on_until_few_entries_are_new(spark, monkeypatch):
     assert sum(len(set(got[i]) & set(best[i])) for i in range(3000)) >= 0.7 * best.size
 
 
+def test_cells_leave_few_neighbours_to_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHANGED", 1.0)  # no rounds
+    x = np.random.default_rng(9).standard_normal((8000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, : ann.NEIGHBOURS]
+    got = {r.v: r.nb for r in ann.build_graph(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<float>")).collect()}
+    assert sum(len(set(got[i]) & set(best[i])) for i in range(8000)) >= 0.8 * best.size
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((20, 32))
