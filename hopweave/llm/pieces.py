@@ -4,8 +4,8 @@ The model protobuf is parsed here (no sentencepiece library is needed to encode
 or decode): pieces with scores and types, the trainer's kind of model and byte
 fallback, and the normaliser. A tokenizers pipeline is rebuilt from them:
 normaliser, the marker for blanks, scores (unigram) or merges in the order of
-scores (BPE), byte fallback, and the matching decoder. Where the sentencepiece library
-is installed, each task holds some of its texts against it.
+scores (BPE), byte fallback, and the matching decoder. Each task holds some of its texts
+against the sentencepiece library, unless it is told not to.
 
 Pieces that no text may match (unknown, control, bytes) have names of their own in a unigram
 vocabulary, so that a text which spells them is cut like any other; what is unknown is spelled
@@ -172,18 +172,18 @@ def parity(data: bytes, texts: list[str]) -> list[int]:
 
 def _verify(data: bytes, texts: list[str]) -> None:
     try:
-        bad = parity(data, texts)
-    except ImportError:  # without the library there is nothing to hold the texts against
-        return
-    if bad:
+        import sentencepiece  # noqa: F401
+    except ImportError as e:
+        raise ImportError("the sentencepiece library, which texts are to be held against, cannot be imported; verified=0 encodes unverified") from e
+    if bad := parity(data, texts):
         raise ParityError(f"encoded or decoded otherwise: {texts[bad[0]][:200]!r}")
 
 
 def encode(docs: DataFrame, model_path: str, texts_at_once: int = 256, verified: int = 8) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids, decoded): every whole text's ids, in multithreaded batches, and the ids' text.
 
-    Each task compares its first ``verified`` texts of up to VERIFIED_CHARS characters with the sentencepiece library, where that is installed, and raises ParityError on
-    a difference. Null text counts as empty, which has no ids. Each row counts, repeated ones and those without a doc_id too; other columns are ignored;
+    Each task compares its first ``verified`` texts of up to VERIFIED_CHARS characters with the sentencepiece library, and raises ParityError on
+    a difference, ImportError without the library; with verified=0 nothing is compared. Null text counts as empty, which has no ids. Each row counts, repeated ones and those without a doc_id too; other columns are ignored;
     an empty table gives no rows.
     """
     batch_rows(docs.sparkSession, 1000)
@@ -198,7 +198,8 @@ def encode(docs: DataFrame, model_path: str, texts_at_once: int = 256, verified:
                 texts = [t or "" for t in batch["text"][a : a + texts_at_once].to_pylist()]
                 if left:
                     some = [t for t in texts if len(t) <= VERIFIED_CHARS][:left]
-                    _verify(shared.value, some)
+                    if some:
+                        _verify(shared.value, some)
                     left -= len(some)
                 ids = tokenizer.encode(texts)
                 back = [tokenizer.decode(x) for x in ids]

@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -348,6 +349,13 @@ def test_a_difference_is_an_error(monkeypatch):
         pieces._verify(data, ["some text"])
 
 
+def test_what_cannot_be_verified_is_an_error(monkeypatch):
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    monkeypatch.setitem(sys.modules, "sentencepiece", None)
+    with pytest.raises(ImportError, match="verified=0"):
+        pieces._verify(data, ["some text"])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)
