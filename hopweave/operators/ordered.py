@@ -6,6 +6,8 @@ holds very many rows takes its task long, but no more memory than its state: ord
 
 from __future__ import annotations
 
+import copy
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,7 +92,7 @@ def _prepared(obs: DataFrame) -> DataFrame:
 
 class _Node:
     def __init__(self, row: dict):
-        self.id, self.urls, self.canonical, self.near, self.names = row["obs_id"], set(), set(), set(), {}
+        self.id, self.urls, self.canonical, self.near, self.names, self.group = row["obs_id"], set(), set(), set(), {}, None
         self.has, self.org = {k: set() for k in D.COMPARED_KEYS}, {k: set() for k in D.EXCLUSIVE_KEYS}
         self.add(row)
 
@@ -104,6 +106,21 @@ class _Node:
         for k, s in self.org.items():
             s.update(row[f"org_{k}"])
 
+    def holds(self, row: dict) -> bool:
+        """Whether a row adds nothing but URLs."""
+        return row["norm"] in self.names and self.near.issuperset(row["near"]) and all(s.issuperset(row[f"has_{k}"]) for k, s in self.has.items()) and all(s.issuperset(row[f"org_{k}"]) for k, s in self.org.items())
+
+    def key(self) -> tuple:
+        """(names, employer-shaped values, the rest) of what the ladder compares but for URLs."""
+        return frozenset(self.names), tuple(map(frozenset, self.org.values())), tuple(map(frozenset, self.has.values())), frozenset(self.near)
+
+    def profile(self) -> _Node:
+        """This node as it is now, without its URLs."""
+        like = copy.copy(self)
+        like.id, like.group, like.urls, like.canonical, like.near, like.names = None, None, set(), set(), set(self.near), dict(self.names)
+        like.has, like.org = ({k: set(s) for k, s in d.items()} for d in (self.has, self.org))
+        return like
+
     def could_be(self, row: dict) -> bool:
         g, last, forms = row["given"], row["last"], set(row["forms"])
         if row["norm"] in self.names:
@@ -111,8 +128,8 @@ class _Node:
         return any(last and last == m and (g == h or ((len(g) == 1 or len(h) == 1) and g[:1] == h[:1]) or (len(g) > 1 and len(h) > 1 and not forms.isdisjoint(f))) for h, m, f in self.names.values())
 
 
-def _rung(node: _Node, nodes: list[_Node], row: dict, threshold: int) -> tuple[str, bool]:
-    """The first rung of the merge ladder that decides, and whether it merges."""
+def _rung(node: _Node, crowded: Callable[[], bool], row: dict) -> tuple[str, bool]:
+    """The first rung of the merge ladder that decides, and whether it merges; crowded() tells whether the name has too many readings."""
     theirs = {k: row[f"org_{k}"] for k in D.EXCLUSIVE_KEYS}
     if not node.canonical.isdisjoint(row["canonical"]):
         return "same_canonical_url", True
@@ -127,11 +144,163 @@ def _rung(node: _Node, nodes: list[_Node], row: dict, threshold: int) -> tuple[s
     veto = node.id in set(row["refused"])
     if _near(node.near, [v for k in D.EXCLUSIVE_KEYS for v in row[f"has_{k}"]]):
         return "attributes_plus_shared_neighbor", not veto
-    if readings([n.org for n in nodes], threshold) >= threshold:
+    if crowded():
         return "name_too_common", False
     return "rare_name_attributes", not veto
 
 
+class _Group:
+    """Nodes that the ladder tells apart by their URLs and ids alone."""
+
+    def __init__(self, key: tuple, node: _Node):
+        self.key, self.names, self.like, self.at = key, key[0], node.profile(), []  # at: places of its nodes, in order
+
+
+class _Name:
+    """The nodes of one name key, found by what the ladder asks of them, so that a row need not be held against each.
+
+    Nodes of equal names and attributes form a group, which is compared with a row of certain names and attributes once; the URLs of nodes are
+    looked up. A place is a node's number in the order in which nodes were opened.
+    """
+
+    #: Comparisons of kinds of rows with groups that are remembered (a fixed bound on memory; forgotten ones are made anew).
+    REMEMBERED = 1_000_000
+
+    def __init__(self, threshold: int):
+        self.threshold, self.remembered = threshold, 0
+        self.nodes: list[_Node] = []
+        self.groups: dict[tuple, _Group] = {}
+        self.made: dict[int, _Group] = {}  # living groups by number, the newest last
+        self.count = 0
+        self.urls: dict = {}  # url: number of the group: places
+        self.canonical: dict = {}  # url: places
+        self.names: dict = {}  # names: places
+        self.orgs: dict = {}  # employer-shaped values: places
+        self.kinds: dict[tuple, list] = {}
+        self.heads: list[dict] | None = None  # the readings so far, up to the threshold
+
+    def _group(self, at: int) -> None:
+        """Puts a node that is new or has changed among its like."""
+        node = self.nodes[at]
+        key = node.key()
+        g = self.groups.get(key)
+        if g is None:
+            g = self.groups[key] = _Group(key, node)
+            self.count += 1
+            g.number = self.count
+            self.made[g.number] = g
+        node.group = g
+        insort(g.at, at)
+        insort(self.names.setdefault(g.names, []), at)
+        orgs = self.orgs.setdefault(key[1], [])
+        if self.heads is not None and not orgs and at == len(self.nodes) - 1:
+            self._head(node.org)
+        elif not orgs or at < orgs[0]:
+            self.heads = None
+        insort(orgs, at)
+        for u in node.urls:
+            insort(self.urls.setdefault(u, {}).setdefault(g.number, []), at)
+
+    def _ungroup(self, at: int) -> None:
+        node = self.nodes[at]
+        g = node.group
+        orgs = self.orgs[g.key[1]]
+        if orgs[0] == at:
+            self.heads = None
+        for places, table, key in ((g.at, self.groups, g.key), (self.names[g.names], self.names, g.names), (orgs, self.orgs, g.key[1]), *((self.urls[u][g.number], self.urls[u], g.number) for u in node.urls)):
+            del places[bisect_left(places, at)]
+            if not places:
+                del table[key]
+        if not g.at:
+            del self.made[g.number]
+
+    def open(self, row: dict) -> None:
+        at = len(self.nodes)
+        self.nodes.append(_Node(row))
+        for c in self.nodes[at].canonical:
+            self.canonical.setdefault(c, []).append(at)
+        self._group(at)
+
+    def add(self, at: int, row: dict) -> None:
+        node = self.nodes[at]
+        for c in set(row["canonical"]) - node.canonical:
+            insort(self.canonical.setdefault(c, []), at)
+        if node.holds(row):
+            node.canonical.update(row["canonical"])
+            if row["url"] not in node.urls:
+                node.urls.add(row["url"])
+                insort(self.urls.setdefault(row["url"], {}).setdefault(node.group.number, []), at)
+            return
+        self._ungroup(at)
+        node.add(row)
+        self._group(at)
+
+    def _head(self, org: dict) -> None:
+        if len(self.heads) < self.threshold and all(inconsistent(org, h) for h in self.heads):
+            self.heads.append(org)
+
+    def crowded(self) -> bool:
+        """Whether the name has as many readings as the threshold. Of nodes with equal values only the first can be one of its own."""
+        if self.heads is None:
+            self.heads = []
+            for i in sorted(places[0] for places in self.orgs.values()):
+                self._head(self.nodes[i].org)
+        return len(self.heads) >= self.threshold
+
+    def fits(self, row: dict, kind: tuple) -> list:
+        """[newest group looked at, numbers of consistent groups of the name: basis without URLs, rows' names met: whether they could be the row's]."""
+        held = self.kinds.get(kind)
+        if held is None:
+            if self.remembered > self.REMEMBERED:
+                self.kinds.clear()
+                self.remembered = 0
+            held = self.kinds[kind] = [0, {}, {}]
+        if held[0] < self.count:
+            bare = {**row, "canonical": (), "url": None, "refused": ()}
+            for number in reversed(self.made):
+                if number <= held[0]:
+                    break
+                g = self.made[number]
+                if g.names not in held[2]:
+                    held[2][g.names] = g.like.could_be(row)
+                if held[2][g.names]:
+                    basis, _ = _rung(g.like, lambda: False, bare)
+                    if basis != "conflicting_attributes":
+                        held[1][number] = basis
+                        self.remembered += 1
+            self.remembered += 1
+            held[0] = self.count
+        return held
+
+    def place(self, row: dict, kind: tuple) -> tuple[int | None, int]:
+        """The first node that the ladder allows, and how many before it (of all, if there is none) could bear the name."""
+        _, near, could = self.fits(row, kind)
+        best = len(self.nodes)
+        for c in row["canonical"]:
+            best = min(best, next((i for i in self.canonical.get(c, ()) if i < best and self.nodes[i].could_be(row)), best))
+        at_url = self.urls.get(row["url"], {})
+        for number in at_url if len(at_url) < len(near) else near:
+            if number in at_url and number in near:
+                best = min(best, at_url[number][0])
+        refused, gone = set(row["refused"]), []
+        for number, basis in near.items():
+            g = self.made.get(number)
+            if g is None:
+                gone.append(number)
+            elif g.at[0] < best and basis != "name_string_only" and (basis != "rare_name_attributes" or not self.crowded()):
+                free = g.at if basis == "search_provenance" else (i for i in g.at if self.nodes[i].id not in refused)
+                best = min(best, next(iter(free), best))
+        for number in gone:
+            del near[number]
+        blocked = 0
+        for names, places in self.names.items():
+            if names not in could:
+                could[names] = self.nodes[places[0]].could_be(row)
+            if could[names]:
+                blocked += bisect_left(places, best)
+        return (best if best < len(self.nodes) else None), blocked
+
+
 def resolve_in_order(obs: DataFrame, order: str, threshold: int = 3, verdicts: DataFrame | None = None) -> DataFrame:
     """(obs_id, node_id, basis, blocked): each observation joins the first node of its name key that the ladder allows, else opens one.
 
@@ -142,23 +311,25 @@ def resolve_in_order(obs: DataFrame, order: str, threshold: int = 3, verdicts: D
     if verdicts is not None:
         no = verdicts.where(F.lower(F.trim("verdict")) == "no").groupBy("obs_id").agg(F.collect_set(F.col("node_id").cast("long")).alias("refused"))
         obs = obs.join(no, "obs_id", "left").withColumn("refused", F.coalesce("refused", F.array().cast("array<long>")))
-    ready = _prepared(obs.where("obs_id is not null")).withColumn("_order", F.col(order))
+    # Names and attributes take long to prepare: rows are spread first, whatever files they come in.
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = _prepared(obs.where("obs_id is not null").repartition(tasks, "obs_id")).withColumn("_order", F.col(order))
 
-    def step(nodes: list[_Node], row: dict) -> list[tuple]:
-        blocked = 0
-        for n in nodes:
-            if n.could_be(row):
-                basis, allowed = _rung(n, nodes, row, threshold)
-                if allowed:
-                    n.add(row)
-                    return [(row["obs_id"], n.id, basis, blocked)]
-                blocked += 1
-        nodes.append(_Node(row))
-        return [(row["obs_id"], row["obs_id"], "opened", blocked)]
+    alike = ["norm", "given", "last", "sought"], ["forms", *[f"has_{k}" for k in D.COMPARED_KEYS], *[f"org_{k}" for k in D.EXCLUSIVE_KEYS]]
+
+    def step(name: _Name, row: dict) -> list[tuple]:
+        at, blocked = name.place(row, (*[row[c] for c in alike[0]], *[tuple(row[c]) for c in alike[1]]))
+        if at is None:
+            name.open(row)
+            return [(row["obs_id"], row["obs_id"], "opened", blocked)]
+        node = name.nodes[at]
+        basis, _ = _rung(node, name.crowded, row)
+        name.add(at, row)
+        return [(row["obs_id"], node.id, basis, blocked)]
 
     cols = ["block", "_order", "obs_id", "url", "canonical", "near", "norm", "given", "last", "forms", "sought", "refused", *[f"has_{k}" for k in D.COMPARED_KEYS], *[f"org_{k}" for k in D.EXCLUSIVE_KEYS]]
     schema = "obs_id long, node_id long, basis string, blocked int"
-    named = scan(ready.where("block <> ''").select(*cols), "block", ["_order", "obs_id"], list, step, schema)
+    named = scan(ready.where("block <> ''").select(*cols), "block", ["_order", "obs_id"], lambda: _Name(threshold), step, schema)
     return named.union(ready.where("block = ''").select("obs_id", F.col("obs_id").alias("node_id"), F.lit("opened").alias("basis"), F.lit(0).alias("blocked")))
 
 

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from hopweave import dictionaries as D
 from hopweave.api import Conflict, Engine, NotReady, UnknownJob
 from hopweave.operators import graph, ordered, search
 from hopweave.plans.queries import PAGES
@@ -50,6 +51,51 @@ def test_ordered_resolution_matches_plain_version(spark, seed):
     assert got == plain_resolution([(i, u, {x.lower() for x in e}) for i, u, e in rows])
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_indexed_names_match_row_by_row_ladder(seed):
+    """Every rung, several spellings of a name, merged nodes that change, refusals: the places found are those of a walk over all nodes."""
+    rnd = random.Random(seed)
+    some = lambda xs, most: rnd.sample(xs, rnd.randint(0, most))
+    wide, threshold = rnd.choice([3, 30]), rnd.choice([2, 3])
+    orgs, nodes, heads = ["acme", "acmeltd", "globex", "initech", "ibm", "umbrella"], [], lambda: ordered.readings([n.org for n in nodes], threshold) >= threshold
+    spelled, name, merged = [("pat vance", "pat"), ("p vance", "p"), ("patricia vance", "patricia"), ("paul vance", "paul")], ordered._Name(threshold), 0
+    name.REMEMBERED = rnd.choice([5, 1_000_000])
+    for i in range(150):
+        norm, given = rnd.choice(spelled[: rnd.choice([1, 4])])
+        row = {"obs_id": i, "url": f"u{rnd.randrange(wide)}", "canonical": some(["x", "y", "z"], 1) if rnd.random() < 0.1 else [], "near": some(orgs, 1), "norm": norm, "given": given, "last": "vance"}
+        row |= {"forms": [given] + (["pat"] if given == "patricia" else []), "sought": rnd.random() < 0.05, "refused": some(list(range(i)), min(i, 2)) if rnd.random() < 0.3 else []}
+        for k in D.COMPARED_KEYS:
+            row[f"has_{k}"] = some(orgs, rnd.choice([0, 1, 1, 2]))
+        for k in D.EXCLUSIVE_KEYS:
+            row[f"org_{k}"] = some(row[f"has_{k}"], len(row[f"has_{k}"])) if f"has_{k}" in row else some(orgs, 1)
+        at, blocked = None, 0
+        for j, n in enumerate(nodes):
+            if n.could_be(row):
+                if ordered._rung(n, heads, row)[1]:
+                    at = j
+                    break
+                blocked += 1
+        kind = repr([(k, v) for k, v in row.items() if k[:4] in ("norm", "give", "last", "form", "soug", "has_", "org_")])
+        assert name.place(row, (kind,)) == (at, blocked)
+        assert name.crowded() == heads()
+        if at is None:
+            nodes.append(ordered._Node(row))
+            name.open(row)
+        else:
+            merged += 1
+            nodes[at].add(row)
+            name.add(at, row)
+    assert merged and len(nodes) > 1
+
+
+def test_ordered_resolution_of_a_hot_name(spark):
+    """8,000 rows of one name, most of which stay apart: about 32 million comparisons node by node."""
+    rows = spark.range(8000).selectExpr("id obs_id", "'Pat Vance' name", "concat('u', id % 4000) url", "map('employer', array(concat('Firm ', char(65 + id % 20)))) attributes", "cast(array() as array<string>) canonical_urls", "cast(null as string) provenance_name")
+    start = time.time()
+    assert ordered.resolve_in_order(rows, "obs_id").where("node_id = obs_id").count() == 4000
+    assert time.time() - start < 40
+
+
 def test_ordered_resolution_rungs(spark):
     one = {"employer": ["Acme"]}
     rows = [
