@@ -137,5 +137,6 @@ def find_person_names(text: Column) -> Column:
     bare = lambda m: F.transform(F.split(m, " "), lambda t: F.lower(F.regexp_replace(t, r"^\.+|\.+$", "")))
     good = F.filter(found, lambda m: (F.size(F.split(m, " ")) >= 2) & ~F.arrays_overlap(bare(m), _words(D.ORG_MARKERS)) & F.exists(bare(m), lambda t: F.length(t) > 1))
     keyed = F.filter(F.transform(good, lambda m: F.struct(normalize_name(tokens(m)).alias("k"), m.alias("m"))), lambda s: s["k"] != "")
-    first = F.filter(F.transform(keyed, lambda s, i: F.struct(s["m"].alias("m"), (F.array_position(F.transform(keyed, lambda y: y["k"]), s["k"]) == i + 1).alias("first"))), lambda s: s["first"])
-    return F.transform(first, lambda s: s["m"])
+    # A lambda's argument is made once; an expression used in a lambda is made anew for every element.
+    first = lambda ks: F.transform(F.filter(ks, lambda s, i: F.array_position(ks["k"], s["k"]) == i + 1), lambda s: s["m"])
+    return F.element_at(F.transform(F.array(keyed), first), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from hopweave.functions.attrs import any_of
 from hopweave.functions.names import fold
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often it is used: a filter pushed through a projection would make it for each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_text(raw: Column) -> Column:
     """The canonical form that offsets refer to."""
     t = F.regexp_replace(raw, "\r\n|\r", "\n")
@@ -21,12 +28,15 @@ def normalize_text(raw: Column) -> Column:
 
 def page_problem(text: Column) -> Column:
     """Why a page is of no use, or null: too_short, soft_404, paywall, consent_or_bot_wall."""
-    head = F.lower(F.substring(text, 1, D.HEAD_CHARS))
-    return F.when(F.length(F.trim(text)) < D.LEAST_USEFUL_CHARS, "too_short").when(any_of(head, D.NOT_FOUND), "soft_404").when(any_of(head, D.PAYWALL), "paywall").when(any_of(head, D.CONSENT), "consent_or_bot_wall")
+
+    def problem(t: Column, head: Column) -> Column:
+        return F.when(F.length(F.trim(t)) < D.LEAST_USEFUL_CHARS, "too_short").when(any_of(head, D.NOT_FOUND), "soft_404").when(any_of(head, D.PAYWALL), "paywall").when(any_of(head, D.CONSENT), "consent_or_bot_wall")
+
+    return once(text, lambda t: once(F.lower(F.substring(t, 1, D.HEAD_CHARS)), lambda head: problem(t, head)))
 
 
 def looks_like_instruction(text: Column) -> Column:
-    return any_of(F.lower(text), D.INSTRUCTIONS)
+    return once(F.lower(text), lambda low: any_of(low, D.INSTRUCTIONS))
 
 
 def host(url: Column) -> Column:
