@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -66,62 +68,95 @@ class _Text(HTMLParser):
         return whole if len(main.strip()) < LEAST_TEXT and len(whole.strip()) > len(main.strip()) else main
 
 
-_PAGE = T_.StructType([T_.StructField("title", T_.StringType()), T_.StructField("text", T_.StringType())])
-_SENTENCES = T_.ArrayType(T_.StructType([*(T_.StructField(c, T_.IntegerType()) for c in ("index", "start", "end")), T_.StructField("text", T_.StringType())]))
+#: Characters of output that a worker holds before it passes them on.
+HELD = 4 << 20
 
 
-@F.pandas_udf(_PAGE)
+def _passed_on(rows: Iterator[tuple[int, tuple]], batch: pa.RecordBatch, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of about HELD characters of rows (place in batch, values), each with the columns kept of its place."""
+    at, out, size = [], [], 0
+
+    def made() -> pa.RecordBatch:
+        own = [batch.column(c).take(pa.array(at, pa.int32())) for c in kept]
+        return pa.RecordBatch.from_arrays(own + [pa.array(vs, f.type) for vs, f in zip(zip(*out), schema)], names=kept + schema.names)
+
+    for i, values in rows:
+        at.append(i)
+        out.append(values)
+        size += 64 + len(values[-1])
+        if size > HELD:
+            yield made()
+            at, out, size = [], [], 0
+    if out:
+        yield made()
+
+
+def _page(h: str | None) -> tuple[str | None, str]:
+    p = _Text()
+    p.feed(h or "")
+    p.close()
+    return " ".join("".join(p.title).split()) or None, p.text()
+
+
+@F.pandas_udf(T_.StructType([T_.StructField("title", T_.StringType()), T_.StructField("text", T_.StringType())]))
 def html_to_text(html: pd.Series) -> pd.DataFrame:
     """Main text (script, style and page furniture left out, furniture only where enough text is left) and title; text is not normalized yet."""
-    out = []
-    for h in html:
-        p = _Text()
-        p.feed(h or "")
-        p.close()
-        out.append((" ".join("".join(p.title).split()) or None, p.text()))
-    return pd.DataFrame(out, columns=["title", "text"])
+    return pd.DataFrame([_page(h) for h in html], columns=["title", "text"])
 
 
-def split_sentences(text: str, most: int | None = None) -> list[tuple[int, int, int, str]]:
-    """(index, start, end, text) with code-point offsets."""
-    cuts, at = [], 0
-    for m in _BOUNDARY.finditer(text):
-        if m[3] is None:
-            word = re.search(r"([A-Za-z][A-Za-z.]*)$", text[max(0, m.start() - 64) : m.start()])
-            short = word and (word[1].lower().strip(".") in D.ABBREVIATIONS or len(word[1].replace(".", "")) == 1)
-            after = text[m.end() : m.end() + 1]
-            if short or not (after.isupper() or after.isdigit() or after in "\"'“‘([" and after):
-                continue
-        cuts.append((at, m.end() if m[3] is None else m.start()))
-        at = m.end()
-    cuts.append((at, len(text)))
-    out = []
-    for a, b in cuts:
+def read_html(pages: DataFrame) -> DataFrame:
+    """pages with title and text in the place of html, as ``html_to_text`` gives them, for whole tables: a worker holds few texts at a time."""
+    kept = [c for c in pages.columns if c != "html"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _passed_on(((i, _page(h.as_py())) for i, h in enumerate(b.column("html"))), b, kept, pa.schema([("title", pa.string()), ("text", pa.string())]))
+
+    return pages.mapInArrow(run, T_.StructType([*(pages.schema[c] for c in kept), T_.StructField("title", T_.StringType()), T_.StructField("text", T_.StringType())]))
+
+
+def _sentences(text: str, most: int | None = None) -> Iterator[tuple[int, int, int, str]]:
+    def cuts() -> Iterator[tuple[int, int]]:
+        at = 0
+        for m in _BOUNDARY.finditer(text):
+            if m[3] is None:
+                word = re.search(r"([A-Za-z][A-Za-z.]*)$", text[max(0, m.start() - 64) : m.start()])
+                short = word and (word[1].lower().strip(".") in D.ABBREVIATIONS or len(word[1].replace(".", "")) == 1)
+                after = text[m.end() : m.end() + 1]
+                if short or not (after.isupper() or after.isdigit() or after in "\"'“‘([" and after):
+                    continue
+            yield at, m.end() if m[3] is None else m.start()
+            at = m.end()
+        yield at, len(text)
+
+    n = 0
+    for a, b in cuts():
         piece = text[a:b]
         core = piece.strip()
-        if core and (most is None or len(out) < most):
+        if core and (most is None or n < most):
             s = a + len(piece) - len(piece.lstrip())
-            out.append((len(out), s, s + len(core), core))
-    return out
+            yield n, s, s + len(core), core
+            n += 1
 
 
-#: Sentences of a fetched page that are read, the reference's max_sentences_per_page.
-PAGE_SENTENCES = 400
+def split_sentences(text: str, most: int | None = None) -> list[tuple[int, int, int, str]]:
+    """(index, start, end, text) with code-point offsets."""
+    return list(_sentences(text, most))
 
 
-def segment(text: Column, most: int | None = None) -> Column:
-    """The sentences of a text, all of them or the first ``most``."""
+#: The reference's max_sentences_per_page; pages are read whole here, and only a caller that asks for it gets so few.
+PAGE_SENTENCES = 400
 
-    @F.pandas_udf(_SENTENCES)
-    def cut(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: [dict(zip(("index", "start", "end", "text"), s)) for s in split_sentences(x or "", most)])
 
-    return cut(text)
+def sentences(pages: DataFrame, text: str = "text", key: str = "page_id", most: int | None = None) -> DataFrame:
+    """(key, idx, start, end, text) of each page's sentences, or of the first ``most``."""
+    own = pages.select(key, F.col(text).alias("_text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _passed_on(((i, s) for i, t in enumerate(b.column("_text")) for s in _sentences(t.as_py() or "", most)), b, [key], pa.schema([*((c, pa.int32()) for c in ("idx", "start", "end")), ("text", pa.string())]))
 
-def sentences(pages: DataFrame, text: str = "text", key: str = "page_id", most: int | None = None) -> DataFrame:
-    """(key, idx, start, end, text) of each page's sentences; pages that were fetched have ``most`` of PAGE_SENTENCES."""
-    return pages.select(key, F.explode(segment(F.col(text), most)).alias("s")).select(key, F.col("s.index").alias("idx"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+    return own.mapInArrow(run, T_.StructType([own.schema[key], *(T_.StructField(c, T_.IntegerType()) for c in ("idx", "start", "end")), T_.StructField("text", T_.StringType())]))
 
 
 def context_windows(rows: DataFrame, key: str, order: str, text: str, size: int = 3) -> DataFrame:
@@ -143,7 +178,7 @@ def documents(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, title, text, text_sha256, skip_reason. The cheap gates run before the HTML is parsed."""
     gate = F.when(T.is_binary_url(F.col("url")), "binary").when(T.is_blocked_url(F.col("url")), "blocked_domain")
     gated = pages.select("page_id", "url", "html", F.coalesce(gate, F.lit("")).alias("gate"))
-    parsed = gated.where("gate = ''").select("page_id", "url", html_to_text("html").alias("h")).select("page_id", "url", F.col("h.title").alias("title"), T.normalize_text(F.col("h.text")).alias("text"))
+    parsed = read_html(gated.where("gate = ''").select("page_id", "url", "html")).withColumn("text", T.normalize_text(F.col("text")))
     good = parsed.withColumn("text_sha256", T.content_hash(F.col("text"))).withColumn("skip_reason", T.page_problem(F.col("text")))
     none = F.lit(None).cast("string")
     return good.unionByName(gated.where("gate <> ''").select("page_id", "url", none.alias("title"), none.alias("text"), none.alias("text_sha256"), F.col("gate").alias("skip_reason")))

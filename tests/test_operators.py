@@ -125,3 +125,27 @@ def test_long_documents_keep_all_sentences(spark):
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert parse.sentences(d, key="doc_id").count() == 900
     assert parse.sentences(d, key="doc_id", most=parse.PAGE_SENTENCES).count() == 400
+
+
+def test_sentences_and_pages_are_passed_on_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"Sentence number {i} ends here." for i in range(500))
+    rows = ((i, s) for i in range(2) for s in parse.split_sentences(text))
+    schema = pa.schema([*((c, pa.int32()) for c in ("idx", "start", "end")), ("text", pa.string())])
+    monkeypatch.setattr(parse, "HELD", 2000)
+    made = list(parse._passed_on(rows, pa.RecordBatch.from_pydict({"doc_id": [7, 8]}), ["doc_id"], schema))
+    assert len(made) > 40 and max(b.num_rows for b in made) < 50
+    assert [(r["doc_id"], r["idx"]) for b in made for r in b.to_pylist()] == [(d, i) for d in (7, 8) for i in range(500)]
+
+
+def test_ingest_streams_folders_and_reads_whole_pages(spark, tmp_path):
+    from hopweave.plans.queries import QUERIES
+
+    fill = "the rest of the page goes on in lower case without any names at all. " * 5
+    far = fill + "".join(f"Line {i} has no people in it. " for i in range(500)) + "Priya Raman hired Tom Alvarez at Acme."
+    spark.createDataFrame([(1, "https://a.example/", f"<p>{far}</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["e5_stream_ingest"](spark, str(tmp_path)).collect()
+    assert [(r.page_id, r.subject_name, r.object_name) for r in got] == [(1, "Priya Raman", "Tom Alvarez")] and got[0].idx > parse.PAGE_SENTENCES
+    spark.range(0).selectExpr("id page_id", "'' url", "'' html").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert QUERIES["e5_stream_ingest"](spark, f"{tmp_path}/none").count() == 0
