@@ -40,8 +40,9 @@ class Ingest:
         if self.stopped:
             self.log.append((batch, "skipped"))
             return
-        docs = parse.documents(pages.select("page_id", "url", "html"))
-        ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"), most=parse.PAGE_SENTENCES)).join(docs.select("page_id", "url"), "page_id")
+        # Pages take long to read: they are spread first, whatever files they come in.
+        docs = parse.documents(pages.select("page_id", "url", "html").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "page_id"))
+        ex = parse.degraded_extractions(parse.sentences(docs.where("skip_reason is null"))).join(docs.select("page_id", "url"), "page_id")
         ex = ex.join(pages.select("page_id", "origin"), "page_id")
         before = self.extractions(batch)
         if self.connected and before is not None:
