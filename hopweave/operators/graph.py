@@ -27,22 +27,36 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), "edge_id").union(e.select("dst", "src", "edge_id"))
 
 
+def stored(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_id) of edges in a scratch table, for several traversals of one graph."""
+    return materialize(edges.where("src <> dst").select("src", "dst", "edge_id"), "bfs-edges")
+
+
+def step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """frontier(node, ...) with neighbour and edge_id: edges are met from either end as they are, not doubled and dealt anew."""
+    ahead = frontier.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), "edge_id"), "node")
+    return ahead.unionByName(frontier.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"), "edge_id"), "node"))
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, dist, path, edge_path) of every node within depth of seeds(node); of equal parents the smallest (parent, edge_id) wins.
 
-    One join per level: the frontier meets its neighbours, those seen before drop out by an anti-join; levels are stored, so lineage stays short.
+    Levels are joins: the frontier meets its edges, those seen before drop out by an anti-join before the best parent of a node is chosen; paths
+    travel with the nodes chosen alone. Levels are stored, so lineage stays short. Edges in a scratch table already are read from there.
     """
-    both = materialize(neighbours(edges).groupBy("node", "neighbour").agg(F.min("edge_id").alias("edge_id")), "bfs-edges")
-    kind = both.schema["node"].dataType.simpleString()
-    seen = frontier = materialize(seeds.select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("dist"), F.array(F.col("node").cast(kind)).alias("path"), F.array().cast("array<" + both.schema["edge_id"].dataType.simpleString() + ">").alias("edge_path")).distinct(), "bfs")
+    own = hasattr(edges, "_scratch_path")
+    edges = edges if own else stored(edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    seen = frontier = materialize(seeds.select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("dist"), F.array(F.col("node").cast(kind)).alias("path"), F.array().cast("array<" + edges.schema["edge_id"].dataType.simpleString() + ">").alias("edge_path")).distinct(), "bfs")
     for level in range(1, depth + 1):
-        found = frontier.join(both, "node").groupBy("neighbour").agg(F.min_by(F.struct("path", "edge_path", "edge_id"), F.struct("node", "edge_id")).alias("m"))
-        found = found.select(F.col("neighbour").alias("node"), F.lit(level).alias("dist"), F.concat("m.path", F.array("neighbour")).alias("path"), F.concat("m.edge_path", F.array("m.edge_id")).alias("edge_path")).join(seen.select("node"), "node", "left_anti")
-        frontier = materialize(found, "bfs")
+        found = step(frontier.select("node"), edges).where("node <> neighbour").join(seen.select(F.col("node").alias("neighbour")), "neighbour", "left_anti")
+        best = found.groupBy("neighbour").agg(F.min(F.struct("node", "edge_id")).alias("m")).select("neighbour", "m.node", "m.edge_id")
+        frontier = materialize(best.join(frontier, "node").select(F.col("neighbour").alias("node"), F.lit(level).alias("dist"), F.concat("path", F.array("neighbour")).alias("path"), F.concat("edge_path", F.array("edge_id")).alias("edge_path")), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    discard(both)
+    if not own:
+        discard(edges)
     return seen
 
 

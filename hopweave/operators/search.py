@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,33 +110,41 @@ def staged_budget(credits_left: Column, nodes_left: Column, parents: Column, pur
     return F.struct(got.alias("parents"), F.when(affordable >= 1 + parents + pursue, pursue).otherwise(F.least(pursue, spare - got)).cast("long").alias("pursue"))
 
 
-def surfaced_by(both: DataFrame, parents: DataFrame, held: DataFrame) -> DataFrame:
-    """(parent, node) of the neighbours of parents(node) that nobody holds; both is (node, neighbour)."""
-    near = both.join(F.broadcast(parents.select("node")), "node").where("node <> neighbour").select(F.col("node").alias("parent"), F.col("neighbour").alias("node")).distinct()
+def surfaced_by(edges: DataFrame, parents: DataFrame, held: DataFrame) -> DataFrame:
+    """(parent, node) of the neighbours of parents(node) that nobody holds."""
+    near = graph.step(F.broadcast(parents.select("node")), edges).where("node <> neighbour").select(F.col("node").alias("parent"), F.col("neighbour").alias("node")).distinct()
     return near.join(held.select("node"), "node", "left_anti").select("parent", "node")
 
 
-def staged_search(edges: DataFrame, scores: DataFrame, origin, target, verdicts: DataFrame | None = None, toward_famous: bool = False, cap: int = 12, per_parent: int = 12, pursue: int = 12) -> DataFrame:
+def _scored(rows: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], kind: str) -> DataFrame:
+    """rows with the recurrence of their node; scores that are a function are asked for the nodes of the rows alone."""
+    if callable(scores):
+        rows = materialize(rows, "search-rows")
+        scores = scores(rows.select("node").distinct())
+    return rows.join(scores.select(F.col("node").cast(kind).alias("node"), "recurrence"), "node", "left").fillna(0, ["recurrence"])
+
+
+def staged_search(edges: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], origin, target, verdicts: DataFrame | None = None, toward_famous: bool = False, cap: int = 12, per_parent: int = 12, pursue: int = 12) -> DataFrame:
     """(tier, rank, parent, node, recurrence, reaches) of everyone held: the origin's best, the best of each of those, and what the pursued among them lead to.
 
-    edges(src, dst, edge_id), scores(node, recurrence), verdicts(node, answer). A parent does not get whom an earlier parent holds: parent number i can lose
+    edges(src, dst, edge_id), scores(node, recurrence) or a function that gives these for some nodes, verdicts(node, answer). A parent does not get whom an earlier parent holds: parent number i can lose
     ``per_parent`` nodes to each earlier one, so its best ``per_parent * i`` settle the matter and only these, a number that parameters bound, are weighed
     on the driver. Parents are broadcast: there are ``cap`` of them.
     """
     spark = edges.sparkSession
-    both = materialize(graph.neighbours(edges).select("node", "neighbour").distinct(), "staged-edges")
-    kind = both.schema["node"].dataType.simpleString()
+    edges = edges if hasattr(edges, "_scratch_path") else graph.stored(edges)
+    kind = edges.schema["src"].dataType.simpleString()
     ids = lambda xs: spark.createDataFrame([(x,) for x in xs], f"node {kind}")
     sign = -1 if toward_famous else 1
-    scored = lambda df: df.join(scores.select(F.col("node").cast(kind).alias("node"), "recurrence"), "node", "left").fillna(0, ["recurrence"])
+    scored = lambda df: _scored(df, scores, kind)
     best = lambda df, most: [(r.node, r.recurrence) for r in tables.rank_frontier(scored(df), most, toward_famous, pool=most).orderBy("rank").collect()]
 
-    tier0 = best(surfaced_by(both, ids([origin]), ids([origin, target])), cap)
+    tier0 = best(surfaced_by(edges, ids([origin]), ids([origin, target])), cap)
     held = {origin, target} | {n for n, _ in tier0}
     order = [n for n, _ in tier0]
     tier1: list[tuple] = []
     if order:
-        near = scored(surfaced_by(both, ids(order), ids(held)))
+        near = scored(surfaced_by(edges, ids(order), ids(held)))
         place = spark.createDataFrame(list(enumerate(order, 1)), f"i int, parent {kind}")
         near = near.join(F.broadcast(place), "parent").withColumn("k", F.row_number().over(W.partitionBy("parent").orderBy(F.col("recurrence") * sign, "node"))).where(F.col("k") <= F.col("i") * per_parent)
         left: dict = {}
@@ -152,29 +162,29 @@ def staged_search(edges: DataFrame, scores: DataFrame, origin, target, verdicts:
     if rank1:
         cand = spark.createDataFrame([(n, i, a) for i, _, n, _, a in rank1], f"node {kind}, rank int, reaches string")
         pursued = [r.node for r in tables.pursuable(cand, pursue).collect()]
-    tier2 = best(surfaced_by(both, ids(pursued), ids(held)).select("node").distinct(), cap) if pursued else []
+    tier2 = best(surfaced_by(edges, ids(pursued), ids(held)).select("node").distinct(), cap) if pursued else []
     rows = [(0, i, origin, n, s, None) for i, (n, s) in enumerate(tier0, 1)] + [(1, i, p, n, s, a) for i, p, n, s, a in rank1] + [(2, i, None, n, s, None) for i, (n, s) in enumerate(tier2, 1)]
     return spark.createDataFrame(rows, f"tier int, rank int, parent {kind}, node {kind}, recurrence long, reaches string")
 
 
-def bidirectional_search(edges: DataFrame, scores: DataFrame, a, b, depth_a: int = 2, depth_b: int = 1, cap: int = 12, famous_a: bool = False, famous_b: bool = False) -> tuple[DataFrame, DataFrame]:
+def bidirectional_search(edges: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], a, b, depth_a: int = 2, depth_b: int = 1, cap: int = 12, famous_a: bool = False, famous_b: bool = False) -> tuple[DataFrame, DataFrame]:
     """(expanded, known edges): both ends are expanded level by level, a node's edges become known when it is expanded, and one level more follows the first meeting.
 
     Each side's frontier is ranked toward the other end's fame and capped. expanded(node, level, side).
     """
     spark = edges.sparkSession
-    edges = materialize(edges.select("edge_id", "src", "dst"), "search-edges")
+    edges = edges if hasattr(edges, "_scratch_path") else materialize(edges.select("edge_id", "src", "dst"), "search-edges")
     kind = edges.schema["src"].dataType.simpleString()
     ids = lambda xs: spark.createDataFrame([(x,) for x in xs], f"node {kind}")
     incident = lambda xs: edges.join(F.broadcast(ids(xs)), F.col("src") == F.col("node"), "left_semi").union(edges.join(F.broadcast(ids(xs)), F.col("dst") == F.col("node"), "left_semi")).distinct()
     done: dict = {}
-    known = incident([a, b]).limit(0)
+    known = materialize(incident([a, b]).limit(0), "search-known")
     allowed, level, met = max(depth_a, depth_b), 0, False
     while level < allowed:
         front = []
         for seed, depth, side, famous in ((a, depth_a, "a", famous_b), (b, depth_b, "b", famous_a)):
             if level < depth:
-                at = graph.traverse(known, ids([seed]), level).where(F.col("dist") == level).select("node").join(scores, "node", "left").fillna(0, ["recurrence"])
+                at = _scored(graph.traverse(known, ids([seed]), level).where(F.col("dist") == level).select("node"), scores, kind)
                 front += [(r.node, side) for r in tables.rank_frontier(at, cap, famous, pool=cap).orderBy("rank").collect() if r.node not in done]
         front = list({n: (n, s) for n, s in reversed(front)}.values())[::-1]
         if not front:

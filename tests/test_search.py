@@ -177,6 +177,20 @@ def test_bidirectional_search_expands_until_the_bonus_level(spark):
     assert paths.first().nodes == list(range(13))
 
 
+def test_searches_share_stored_edges_and_ask_for_few_degrees(spark):
+    rows = [(i, i, i + 1) for i in range(12)] + [(100 + i, 500 + i, 900 + i) for i in range(50)]
+    edges = graph.stored(spark.createDataFrame(rows, "edge_id long, src long, dst long"))
+    asked = set()
+
+    def degrees(of):
+        asked.update(r.node for r in of.collect())
+        return graph.step(of, edges).groupBy("node").agg(F.countDistinct("neighbour").alias("recurrence"))
+
+    expanded, _ = search.bidirectional_search(edges, degrees, 0, 4, 2, 2)
+    assert {r.node for r in expanded.collect()} >= {0, 1, 3, 4} and asked <= set(range(13))
+    assert graph.traverse(edges, spark.createDataFrame([(500,)], "node long"), 3).count() == 2 and edges.count() == 62
+
+
 def test_preview_changes(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "nodes array<long>") for xs in ([[1, 2], [3]], [[1, 2]]))
     assert search.preview_changed(a, b) and search.preview_changed(b, a) and not search.preview_changed(a, a)
