@@ -191,6 +191,24 @@ def test_searches_share_stored_edges_and_ask_for_few_degrees(spark):
     assert graph.traverse(edges, spark.createDataFrame([(500,)], "node long"), 3).count() == 2 and edges.count() == 62
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_resolution_by_kinds_has_the_components_of_all_pairs(spark, seed):
+    from hopweave.operators import resolve
+    from hopweave.operators.components import connected_components
+
+    rnd = random.Random(seed)
+    some = lambda xs: [x for x in xs if rnd.random() < 0.25]
+    rows = [(i, rnd.choice(["Pat Vance", "P. Vance", "Patricia Vance", "Paul Vance", "Bo Chen", "Cy Dorn", ""]), rnd.choice([f"u{rnd.randrange(60)}", None]), {"employer": some(["Acme", "Globex", "Initech"]), "institution": some(["Oxford"])}, [f"p{rnd.randrange(40)}"] if rnd.random() < 0.1 else [], "Pat Vance" if rnd.random() < 0.05 else None, some(["Acme"]) if i % 5 == 0 else []) for i in range(160)]
+    obs = spark.createDataFrame(rows, OBS + ", neighbour_orgs array<string>")
+    no = [(a, b, rnd.choice(["no", "no", "yes"])) for a in range(0, 160, 3) for b in range(a + 1, 160, 11)]
+    for said, threshold in ((None, 3), (spark.createDataFrame(no, "left_id long, right_id long, verdict string"), 9)):
+        pairs = {(r.left_id, r.right_id) for r in resolve.decisions(obs, threshold=threshold, verdicts=said).where("allowed").collect()}
+        ties = {(r.a, r.b) for r in resolve._links(obs, threshold, said).collect()}
+        assert ties <= pairs and len(ties) < len(pairs)
+        components = lambda e: {r.node: r.component for r in connected_components(spark.createDataFrame(sorted(e), "a long, b long")).collect()}
+        assert components(ties) == components(pairs)
+
+
 def test_preview_changes(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "nodes array<long>") for xs in ([[1, 2], [3]], [[1, 2]]))
     assert search.preview_changed(a, b) and search.preview_changed(b, a) and not search.preview_changed(a, a)
