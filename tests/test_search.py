@@ -325,3 +325,29 @@ def test_names_of_whole_tables(spark):
     c, s = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("customer", "supplier"))
     got = QUERIES["j1_j2_roster_match"](spark, sf).toPandas().set_index("name").status
     assert set(c.c_name) | set(s.s_name) <= set(got.index) and (got[list(set(c.c_name))] == "exact").all()
+
+
+def test_pairs_look_up_what_their_kinds_are(spark, monkeypatch):
+    from hopweave.functions import attrs as A
+    from hopweave.functions import names as N
+    from hopweave.operators import resolve
+
+    rnd = random.Random(11)
+    some = lambda xs: [x for x in xs if rnd.random() < 0.4]
+    rows = [(i, rnd.choice(["Pat Vance", "P. Vance", "Patricia Vance", "Paul Vance", "Bo Chen", ""]), rnd.choice([f"u{rnd.randrange(9)}", None]), {"employer": some(["Acme", "Globex"]), "institution": some(["Oxford"])}, [f"p{rnd.randrange(9)}"] if rnd.random() < 0.2 else [], rnd.choice(["Pat Vance", None, None, None]), some(["Acme"]) if i % 5 == 0 else []) for i in range(120)]
+    obs = spark.createDataFrame(rows, OBS + ", neighbour_orgs array<string>")
+    said = spark.createDataFrame([(a, b, rnd.choice(["no", "yes"])) for a in range(0, 120, 2) for b in range(a + 1, 120, 7)], "left_id long, right_id long, verdict string")
+    keyed = obs.withColumn("t", N.tokens(F.col("name"))).withColumn("block", N.name_key(F.col("t"))).where("block <> ''")
+    a, b = (keyed.select("block", F.struct(*keyed.columns).alias(s)) for s in "ab")
+    of = lambda s, k: F.coalesce(F.try_element_at(F.col(f"{s}.attributes"), F.lit(k)), F.array().cast("array<string>"))
+    pairs = a.join(b, "block").where("a.obs_id < b.obs_id").where(N.could_be_same_name(F.col("a.t"), F.col("b.t"))).join(said, (F.col("a.obs_id") == F.col("left_id")) & (F.col("b.obs_id") == F.col("right_id")), "left").join(resolve.clusters(resolve._own(obs), 3), "block")
+    x, y = F.col("a.attributes"), F.col("b.attributes")
+    step = resolve.ladder(A.conflict(x, y).isNotNull(), F.size(A.matching_keys(x, y)) > 0, F.coalesce(F.arrays_overlap("a.canonical_urls", "b.canonical_urls"), F.lit(False)), F.col("a.url") == F.col("b.url"), N.could_be_same_name(N.tokens(F.col("b.provenance_name")), F.col("b.t")), F.col("clusters"), A.overlaps(F.col("a.neighbour_orgs"), F.concat(of("b", "employer"), of("b", "institution"))), F.col("verdict"))
+    plain = sorted(map(tuple, pairs.select(F.col("a.obs_id").alias("l"), F.col("b.obs_id").alias("r"), step.alias("d")).select("l", "r", "d.*").collect()))
+    assert len({p[2] for p in plain}) >= 6 and len({p[3] for p in plain if p[2] == "rare_name_attributes"} | {p[3] for p in plain if p[2] == "attributes_plus_shared_neighbor"}) == 2
+    for part, many in ((256, 2048), (7, 5), (1, 1000)):  # groups of kinds and parts of rows cut nothing
+        monkeypatch.setattr(resolve, "PART", part)
+        monkeypatch.setattr(resolve, "ROWS", many)
+        assert sorted(map(tuple, resolve.decisions(obs, verdicts=said).collect())) == plain
+    # Values are not searched anew for every pair of rows.
+    assert "lambda" not in resolve.decisions(obs)._jdf.queryExecution().optimizedPlan().toString()
