@@ -79,12 +79,10 @@ def replay(relations: DataFrame, people: DataFrame, as_of: Column, ttl_seconds:
     once per end, to be resolved anew by the job; rows that break the invariants of an extraction are left out."""
     keys = people.select(F.col("name").alias("person"), N.name_key(N.tokens(F.col("name"))).alias("name_key"))
     fresh = tables.lookup_relations(relations, keys, as_of, ttl_seconds)
-    good = fresh.where((F.col("span_end") > F.col("span_start")) & (F.col("span_end") - F.col("span_start") == F.length("span_text")) & (N.fold(F.trim("subject_name")) != N.fold(F.trim("object_name"))))
-    sides = [good.join(keys, F.col(f"{s}_key") == F.col("name_key")).drop("name_key") for s in ("subject", "object")]
-    both = sides[0].unionByName(sides[1]).groupBy(*tables.UNIQUE, "span_text").agg(F.min("person").alias("provenance_name"))
+    both = fresh.where((F.col("span_end") > F.col("span_start")) & (F.col("span_end") - F.col("span_start") == F.length("span_text")) & (N.fold(F.trim("subject_name")) != N.fold(F.trim("object_name")))).withColumnRenamed("person", "provenance_name")
     eid = F.xxhash64(*tables.UNIQUE)
-    end = lambda s: both.select(eid.alias("eid"), F.lit(s).alias("side"), F.col(f"{s}_name").alias("name"), F.col("source_url").alias("url"), "span_text", "span_start", "span_end", "provenance_name")
-    return end("subject").union(end("object"))
+    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_name").alias("name")) for s in ("subject", "object")]))
+    return both.select("*", eid.alias("eid"), ends.alias("end")).select("eid", "end.side", "end.name", F.col("source_url").alias("url"), "span_text", "span_start", "span_end", "provenance_name")
 
 
 RECORDED = "extractions array<struct<subject_name:string,object_name:string,sentence_index:int,span_text:string,context_before:string,resolved_statement:string,resolution_basis:string,subject_attributes:array<string>,object_attributes:array<string>>>, co_listings array<struct<affiliation:string,affiliation_kind:string,context_sentence_index:int,context_text:string,members:array<struct<name:string,sentence_index:int,span_text:string,role:string>>>>"

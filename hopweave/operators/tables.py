@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from hopweave.functions import names as N
 from hopweave.sources.recorded import first_per
+from hopweave.storage import materialize
 
 UNIQUE = ["subject_name", "object_name", "source_url", "span_start", "span_end"]
 FILLED = ["role", "company", "profile_url"]
+#: Rows of a task of ``lookup_relations``, and keys that it broadcasts at most.
+ROWS, FEW = 400_000, 100_000
 
 
 def insert_relations(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -19,11 +22,31 @@ def insert_relations(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def lookup_relations(relations: DataFrame, keys: DataFrame, as_of: Column, ttl_seconds: int = 30 * 86400) -> DataFrame:
-    """Relations cached within the ttl with a wanted name_key on either side: two equi-joins, not an OR."""
-    fresh = relations.where(F.unix_timestamp("cached_at") >= F.unix_timestamp(as_of) - ttl_seconds)
-    one = fresh.join(keys.select(F.col("name_key").alias("subject_key")).distinct(), "subject_key", "left_semi")
-    two = fresh.join(keys.select(F.col("name_key").alias("object_key")).distinct(), "object_key", "left_semi")
-    return one.unionByName(two).dropDuplicates(UNIQUE)
+    """Relations cached within the ttl with a wanted name_key on either side, one per unique tuple; where keys(name_key, [person]) names persons, with the smallest of the keys met.
+
+    However often a key occurs, no task has more than some ROWS rows: up to FEW keys are broadcast; of more, a part of the relations asks for a key
+    once and meets the answer alone. All parts are by number, as few bytes can be many rows.
+    """
+    named, fresh = "person" in keys.columns, relations.where(F.unix_timestamp("cached_at") >= F.unix_timestamp(as_of) - ttl_seconds)
+    wanted = keys.select(F.col("name_key").alias("_key"), (F.col("person") if named else F.lit(None).cast("string")).alias("_person")).where("_key is not null")
+    smallest, many = F.min("_person").alias("_person"), keys.count()
+    if many > FEW:
+        fresh = materialize(fresh, "fresh-relations")
+    parts = max(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(2 * fresh.count(), many) // ROWS))
+    if many > FEW:
+        wanted = wanted.withColumn("_part", F.pmod(F.xxhash64("_person"), F.lit(parts))).repartition(parts, "_key", "_part").groupBy("_key", "_part").agg(smallest).repartition(parts, "_key").groupBy("_key").agg(smallest)
+        ends = fresh.withColumn("_part", F.pmod(F.xxhash64(*UNIQUE), F.lit(parts))).withColumn("_key", F.explode(F.array_distinct(F.array("subject_key", "object_key")))).where("_key is not null")
+        asked = ends.select("_part", "_key").repartition(parts, "_part", "_key").distinct()
+        found = asked.repartition(parts, "_key").join(wanted.hint("merge"), "_key")
+        met = ends.repartition(parts, "_part", "_key").join(found.repartition(parts, "_part", "_key").hint("merge"), ["_part", "_key"])
+    else:
+        wanted, met = wanted.groupBy("_key").agg(smallest), fresh
+        for s in ("subject", "object"):
+            met = met.join(F.broadcast(wanted.select(F.col("_key").alias(f"_{s}"), F.col("_person").alias(f"_of_{s}"))), F.col(f"{s}_key") == F.col(f"_{s}"), "left")
+        met = met.where("_subject is not null or _object is not null").withColumn("_person", F.least("_of_subject", "_of_object"))
+    rest = [c for c in relations.columns if c not in UNIQUE]
+    one = met.repartition(parts, *UNIQUE).groupBy(*UNIQUE).agg(F.first(F.struct(*rest)).alias("_rest"), smallest)
+    return one.select(*[F.col(c) if c in UNIQUE else F.col(f"_rest.`{c}`") for c in relations.columns], *([F.col("_person").alias("person")] if named else []))
 
 
 def relation_stats(relations: DataFrame) -> DataFrame:

@@ -351,3 +351,24 @@ def test_pairs_look_up_what_their_kinds_are(spark, monkeypatch):
         assert sorted(map(tuple, resolve.decisions(obs, verdicts=said).collect())) == plain
     # Values are not searched anew for every pair of rows.
     assert "lambda" not in resolve.decisions(obs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_replay_deals_hot_keys_by_number_of_rows(spark, monkeypatch, few):
+    from hopweave.functions import names as N
+    from hopweave.operators import tables
+
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    monkeypatch.setattr(tables, "FEW", few, raising=False)
+    rows = [(f"Person {i % 300}", "Pat Hot", f"u{i % 2}", f"Person {i % 300} met Pat Hot", 0, len(f"Person {i % 300} met Pat Hot") + (i % 5 == 0), 100 * (i % 7 > 0)) for i in range(1500)] + [("pat  hot", "Pat HOT", "u", "x", 0, 1, 100), ("No One", "Else Who", "u", "met", 0, 3, 100), ("No One", None, "u", "met", 0, 3, 100)]
+    rel = spark.createDataFrame(rows, "subject_name string, object_name string, source_url string, span_text string, span_start int, span_end int, age int")
+    rel = rel.withColumns({"subject_key": N.name_key(N.tokens(F.col("subject_name"))), "object_key": N.name_key(N.tokens(F.col("object_name"))), "cached_at": F.timestamp_seconds(F.lit(10_000) - F.col("age"))})
+    people = spark.createDataFrame([("Pat Hot",), ("P. Hot",), ("Peter Hot",), (None,), *[(f"Person {i}",) for i in range(0, 300, 3)]], "name string")
+    out = search.replay(rel, people, F.timestamp_seconds(F.lit(10_000)), 50)
+    got = sorted((r.side, r.name, r.url, r.span_end, r.provenance_name) for r in out.collect())
+    good = {(a, u, len(s)) for a, _, u, s, _, e, age in rows[:1500] if age == 0 and e == len(s)}
+    assert len(good) > 100 and got == sorted((side, a if side == "subject" else "Pat Hot", u, e, "P. Hot") for a, u, e in good for side in ("subject", "object"))
+    # As many tasks as rows ask for, none of them for a hot key: a few tasks whose size grew with the table before.
+    fresh = sum(r[-1] == 0 for r in rows)
+    sizes = [len(p) for p in tables.lookup_relations(rel, people.select(N.name_key(N.tokens(F.col("name"))).alias("name_key")), F.timestamp_seconds(F.lit(10_000)), 50).rdd.glom().collect()]
+    assert len(sizes) >= 2 * fresh / 100 and max(sizes) < 100
